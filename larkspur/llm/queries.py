@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, near_dedup, sharding
+from . import bpe, line_dedup, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_bpe": bpe.op2_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_source_mix": mixing.op4_source_mix,
     "op6_line_spread": line_dedup.op6_line_spread,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_shards": sharding.op10_shards,
 }
 
