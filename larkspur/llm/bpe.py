@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .arrow import map_arrow
+
 NONE = np.int64(1) << np.int64(60)
 CACHE_WORDS = 300_000
 CHUNK_CHARS = 1 << 20
@@ -197,7 +199,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", decode: bool = False, pa
                     columns["decoded"] = pa.array([bpe.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([columns[f] for f in schema.names], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def bpe_decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -212,7 +214,7 @@ def bpe_decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None
             columns = {f: batch.column(f) for f in batch.schema.names} | {"decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[f] for f in schema.names], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow import map_arrow
 from .graph import components
 from .scratch import Scratch
 from .wordhash import batched_hashes, mix, runs
@@ -118,7 +119,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 def _confirm(spark, pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(u, v)`` whose full shingle sets are similar enough."""
     wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = scratch.table(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_emit_sets, "id long, shingles array<long>"), f"{name}-sets")
+    sets = scratch.table(map_arrow(texts.join(wanted, "doc_id", "left_semi"), _emit_sets, "id long, shingles array<long>"), f"{name}-sets")
     # the side that recurs (the smaller id, pivots included) is met first, while rows are still two numbers wide
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
@@ -137,7 +138,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(texts.mapInArrow(_sign, _SIGNED), "signed")
+    signed = scratch.table(map_arrow(texts, _sign, _SIGNED), "signed")
     one_set = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"))
     members = signed.select("doc_id", "n_shingles", "set1", "set2").join(one_set, ["set1", "set2", "n_shingles"], "left")
     members = scratch.table(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .arrow import map_arrow
 from .wordhash import batched_hashes, runs
 
 TRAIN_ROWS = 12_000
@@ -145,7 +146,8 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
     """The fitted machine, or None without any labelled row."""
-    rows = training_rows(docs, labels, "quality", TRAIN_ROWS, HOLD_MOD, HOLD_REST).mapInArrow(_collect_features, "doc_id long, label int, packed binary").toArrow()
+    known = training_rows(docs, labels, "quality", TRAIN_ROWS, HOLD_MOD, HOLD_REST)
+    rows = map_arrow(known, _collect_features, "doc_id long, label int, packed binary").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
@@ -183,7 +185,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep_columns: bool = Fals
             columns = {c: batch.column(c) for c in schema.names[:-1]} | {"score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], names=schema.names)
 
-    scored = rows.mapInArrow(run, schema)
+    scored = map_arrow(rows, run, schema)
     scored = scored.withColumn("held_out", _held_out(HOLD_MOD, HOLD_REST)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     first = [c for c in rows.columns if keep_columns or c == "doc_id"]
     return scored.select(*first, "held_out", "score", "predicted")

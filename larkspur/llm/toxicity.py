@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow import map_arrow
 from . import wordhash
 from .quality import _held_out, training_rows
 from .wordhash import SLICE, mix
@@ -266,7 +267,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(linear.scores(own), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = map_arrow(rows, run, "doc_id long, score double")
     return scored.select("doc_id", _held_out(HOLD_MOD, HOLD_REST).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
