@@ -2,25 +2,30 @@
 
 A document is its set of distinct five-word shingles (64-bit hashes).  Equal
 sets collapse to one representative first, so exact copies never meet in pairs.
-Representatives then descend independent trees: at a node every document is
-branched by two selected coordinates of its MinHash signature, each child
-holding the documents that agree on that minwise token.  Nodes of at most
-``LEAF`` documents are compared exhaustively.  A larger node links its members
-to a pivot and, unless one component already covers it, branches again.  With
-two branches a level, a pair at similarity 0.75 survives a tree of any depth
-with probability 8/9 at least, so ``TREES`` = 6 trees miss it with probability
-below 2e-6.  Nodes that remain after ``MAX_DEPTH`` levels are finished exactly:
-every member outside the node's largest component is compared with all members.
-
-Candidates pass a size bound and a 128-bit sketch (more than five standard
-deviations below the expectation at the threshold), then the link is confirmed
-on full shingle sets inside the JVM.  Links feed a distributed connected
-components pass.
+Representatives then descend ``TREES`` independent trees: at a node every
+document is branched by two selected coordinates of its MinHash signature, each
+child holding the documents that agree on that minwise token.  A node of at most
+``LEAF`` documents is a leaf.  A larger one branches again, unless branching
+can't part it (one child keeps half of it: a family of copies) or ``MAX_DEPTH``
+is reached; such nodes become leaves too, compared as pairs of blocks of
+``LEAF``.  A pair at similarity 0.75 misses all ten root children with
+probability 1e-6, and each further level keeps it with probability 0.94.
+
+Leaves are compared exhaustively, in two rounds that never write out all pairs.
+First, 128-bit sketches give each leaf a minimum spanning forest over the pairs
+that may be similar enough; its edges are confirmed on full shingle sets and
+joined to components.  Then, in leaves that still hold several components, 256 minwise tokens tell
+which documents may have a link across components (not more than 4.5 standard
+deviations below the threshold), and these are compared on full sets, block by
+block.  Pairs inside a component need no comparison, and of several links to one
+component one is enough, so no link between components is lost and what is
+written stays linear.  Components come from a distributed star contraction.
 
 Defined results: null or empty text has no shingles, links with nothing and is
 its own component; a null ``doc_id`` takes no part, its component is null and
-it is kept (nothing can name it a copy); equal texts share a component however
-often they occur; repeated rows are each returned; extra columns are ignored.
+it is kept (nothing can name it a copy); ``doc_id`` is taken to name one text;
+equal texts share a component however often they occur; repeated rows are each
+returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +43,22 @@ from .wordhash import batched_hashes, mix, runs
 
 SHINGLE = 5
 THRESHOLD = 75
-COORDINATES = 64
-TREES = 6
-BRANCHES = 2
-LEAF = 32
-MAX_DEPTH = 10
+COORDINATES, LONG_COORDINATES = 64, 256
+TREES, BRANCHES = 5, 2
+LEAF = 512
+MAX_DEPTH = 8
+#: Of 128 sketch bits, 16 differ on average at the threshold; five and a half standard deviations more may.
 SKETCH_DISTANCE = 41
+#: Of 256 tokens, 192 agree on average at the threshold; 4.5 standard deviations fewer may.
+LONG_AGREE = 161
+#: Shingles of a block whose full sets are compared, about (8 bytes each).
+VOLUME = 500_000
+#: Ids of documents whose sets are needed are broadcast up to this many (8 bytes each).
+BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(751)
-_A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 63, LONG_COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, LONG_COORDINATES, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -63,11 +74,11 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
                 yield np.empty(0, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """``COORDINATES`` minwise tokens of a non-empty set."""
-    best = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint64)
+def signature(shingles: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """``n`` minwise tokens of a non-empty set."""
+    best = np.full(n, 0xFFFFFFFF, dtype=np.uint64)
     for at in range(0, len(shingles), 2048):
-        hashed = (shingles[at : at + 2048, None] * _A + _B) >> np.uint64(32)
+        hashed = (shingles[at : at + 2048, None] * _A[:n] + _B[:n]) >> np.uint64(32)
         np.minimum(best, hashed.min(axis=0), out=best)
     return best.astype(np.uint32)
 
@@ -103,37 +114,156 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.astype(np.int64) for s in shingle_sets(_bytes(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
-
+        sets = list(shingle_sets(_bytes(batch.column("text"))))
+        tokens = [mix(signature(x, LONG_COORDINATES).astype(np.uint64)).astype(np.uint8).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["id", "shingles", "tokens"])
+
+
+def _groups(batch: pa.RecordBatch, column: str) -> Iterator[dict[str, np.ndarray]]:
+    """The struct list of each row as numpy columns."""
+    lists = batch.column(column)
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()
+    columns = {f.name: c for f, c in zip(flat.type, flat.flatten(), strict=True)}
+    arrays = {k: (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy()) for k, c in columns.items()}
+    for b, e in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True):
+        yield {k: v[b:e] for k, v in arrays.items()}
+
+
+def forest(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a minimum spanning forest over the pairs of a leaf whose sketches and sizes allow a link."""
+    n = len(m["id"])
+    far = np.int64(255)
+    sizes = m["n_shingles"].astype(np.int64)
+    one, two = m["sketch1"].view(np.uint64), m["sketch2"].view(np.uint64)
+    nearest, parent, free = np.full(n, far), np.full(n, -1), np.ones(n, dtype=bool)
+    edges = []
+    for _ in range(n):
+        at = int(np.argmin(np.where(free, nearest, far + 1)))
+        free[at] = False
+        if parent[at] >= 0:
+            edges.append((int(parent[at]), at))
+        d = np.bitwise_count(one ^ one[at]).astype(np.int64) + np.bitwise_count(two ^ two[at])
+        may = free & (d <= SKETCH_DISTANCE) & (np.minimum(sizes, sizes[at]) * 100 >= THRESHOLD * np.maximum(sizes, sizes[at])) & (d < nearest) & (m["id"] != m["id"][at])
+        nearest[may], parent[may] = d[may], at
+    if not edges:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    u, v = np.array(edges).T
+    return m["id"][u], m["id"][v]
+
+
+def _emit_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [forest(m) for m in _groups(batch, "ms")]
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
+def involved(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Members of a leaf that may have a link across components, by sizes and long signatures."""
+    labels, counts = np.unique(m["label"], return_counts=True)
+    minor = np.flatnonzero(m["label"] != labels[np.argmax(counts)])
+    sizes = m["n_shingles"].astype(np.int64)
+    found = np.zeros(len(sizes), dtype=bool)
+    for i in minor.tolist():
+        may = np.flatnonzero((m["label"] != m["label"][i]) & (np.minimum(sizes, sizes[i]) * 100 >= THRESHOLD * np.maximum(sizes, sizes[i])))
+        may = may[(m["tokens"][may] == m["tokens"][i]).sum(axis=1) >= LONG_AGREE]
+        found[may] = True
+        found[i] |= len(may) > 0
+    return m["id"][found]
+
+
+def _emit_involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [involved(m) for m in _groups(batch, "ms")]
+        node = np.repeat(batch.column("node").to_numpy(), [len(f) for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(found))], names=["node", "id"])
 
-def _candidate(a: str, b: str) -> str:
-    distance = f"bit_count({a}.sketch1 ^ {b}.sketch1) + bit_count({a}.sketch2 ^ {b}.sketch2) <= {SKETCH_DISTANCE}"
-    return f"least({a}.n_shingles, {b}.n_shingles) * 100L >= {THRESHOLD} * greatest({a}.n_shingles, {b}.n_shingles) AND {distance}"
 
+def across(ids: np.ndarray, label: np.ndarray, sets: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links across components, one for each document outside the largest and each component it reaches.
 
-def _members(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "id", F.struct("id", "n_shingles", "sketch1", "sketch2", "label").alias("m"))
+    ``sets`` holds the members' shingles end to end; intersections are counted
+    on all of them.
+    """
+    sizes = np.diff(np.append(starts, len(sets)))
+    labels, counts = np.unique(label, return_counts=True)
+    _, dense = np.unique(sets, return_inverse=True)
+    mine = np.zeros(dense.max() + 1, dtype=bool)
+    for i in np.flatnonzero(label != labels[np.argmax(counts)]).tolist():
+        own = dense[starts[i] : starts[i] + sizes[i]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[dense], starts, dtype=np.int64)
+        mine[own] = False
+        linked = np.flatnonzero((label != label[i]) & (100 * shared >= THRESHOLD * (sizes + sizes[i] - shared)))
+        for j in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+            yield int(ids[i]), int(ids[j])
+
+
+def _emit_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ms")
+        flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids, label, sets = flat.flatten()
+        ids, label, at, values = ids.to_numpy(), label.to_numpy(), sets.offsets.to_numpy(), sets.values.to_numpy()
+        pairs = [p for b, e in zip(ends[:-1], ends[1:], strict=True) for p in across(ids[b:e], label[b:e], values[at[b] : at[e]], at[b:e] - at[b])]
+        u, v = np.array(sorted({(min(p), max(p)) for p in pairs}), dtype=np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _confirm(spark, pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, size, id)``: the leaves of all trees with two documents or more."""
+    roots = F.array(*(F.struct(F.lit(c).alias("c"), F.col("signature")[c].alias("token")) for c in range(TREES * BRANCHES)))
+    nodes = sigs.select("id", F.explode(roots).alias("r")).select(F.xxhash64("r.c", "r.token").alias("node"), "id")
+    out, free = [], COORDINATES - TREES * BRANCHES
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    grown = scratch.table(nodes.join(sizes, "node"), "nodes-0")
+    for depth in range(MAX_DEPTH):
+        out.append(grown.filter(F.col("size") <= LEAF))
+        big = grown.filter(F.col("size") > LEAF)
+        if big.isEmpty():
+            return _union(out)
+        first, gap = f"pmod(xxhash64(node, {depth}), {free})", f"1 + pmod(xxhash64(node, {depth}, 1), {free - 1})"
+        picked = F.expr(f"array(CAST({first} AS INT), CAST(pmod({first} + {gap}, {free}) AS INT))")
+        children = big.join(sigs.select("id", "signature"), "id").withColumn("c", F.explode(picked)).withColumn("c", F.col("c") + TREES * BRANCHES)
+        children = children.select("id", F.col("node").alias("parent"), F.col("size").alias("whole"), F.expr("xxhash64(node, c, signature[c])").alias("node"))
+        children = scratch.table(children, f"children-{depth}")
+        sizes = children.groupBy("node", "parent", "whole").agg(F.count(F.lit(1)).alias("size"))
+        stuck = sizes.groupBy("parent").agg(F.max(F.col("size") * 2 >= F.col("whole")).alias("stuck"))
+        stuck = scratch.table(stuck.filter("stuck").select(F.col("parent").alias("node")), f"stuck-{depth}")
+        out.append(big.join(stuck, "node", "left_semi"))
+        sizes = sizes.filter("size > 1").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
+        grown = scratch.table(children.select("node", "id").join(sizes, "node"), f"nodes-{depth + 1}")
+    return _union([*out, grown])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0].select("node", "size", "id")
+    for p in parts[1:]:
+        whole = whole.union(p.select("node", "size", "id"))
+    return whole
+
+
+def _in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """``(node, b, ms)``: each leaf's members, a large leaf's as all pairs of its ``blocks``."""
+    rows = members.withColumn("_own", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("b", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> CAST(least(o, _own) AS BIGINT) * blocks + greatest(o, _own))")))
+    return rows.groupBy("node", "b").agg(F.collect_list(F.struct(*columns)).alias("ms")).filter("size(ms) > 1")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(u, v)`` whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = scratch.table(map_arrow(texts.join(wanted, "doc_id", "left_semi"), _emit_sets, "id long, shingles array<long>"), f"{name}-sets")
-    # the side that recurs (the smaller id, pivots included) is met first, while rows are still two numbers wide
+    # the side that recurs is met first, while rows are still two numbers wide
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
     shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("shared"), (F.size("su") + F.size("sv")).cast("long").alias("total"))
-    links = scratch.table(shared.filter(f"100 * shared >= {THRESHOLD} * (total - shared)").select("u", "v"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    return scratch.table(shared.filter(f"100 * shared >= {THRESHOLD} * (total - shared)").select("u", "v"), name)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, n_links)`` of ``docs(doc_id, text)``.
 
-    ``n_links`` counts the confirmed links of the document's set that the join
-    made use of; pairs already joined by other links aren't compared again.
+    ``n_links`` counts the confirmed links of the representative of the
+    document's set; pairs that other links have already joined aren't compared.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -146,51 +276,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = scratch.table(sigs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch1", "sketch2", "signature"), "signatures")
     scratch.drop("signed")
 
-    roots = F.array(*(F.struct(F.lit(c).alias("c"), F.col("signature")[c].alias("token")) for c in range(TREES * BRANCHES)))
-    nodes = sigs.select("id", "n_shingles", "sketch1", "sketch2", F.col("id").alias("label"), F.explode(roots).alias("r"))
-    nodes = nodes.select(F.xxhash64("r.c", "r.token").alias("node"), "id", "n_shingles", "sketch1", "sketch2", "label")
-    links = None
-    for depth in range(MAX_DEPTH + 1):
-        member = _members(nodes)
-        stats = member.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("m").alias("pivot"), F.min("m.label").alias("low"), F.max("m.label").alias("high"))
-        met = member.join(stats.filter("size > 1 AND low <> high"), "node")
-        met = scratch.table(met.select("node", "m", "size", "pivot"), f"met-{depth}")
-        small = met.filter(f"size <= {LEAF}").groupBy("node").agg(F.collect_list("m").alias("ms"))
-        within = small.selectExpr(f"explode(flatten(transform(ms, a -> transform(filter(ms, b -> a.id < b.id AND a.label <> b.label AND {_candidate('a', 'b')}), b -> struct(a.id AS u, b.id AS v))))) AS p").select("p.u", "p.v")
-        star = met.filter(f"size > {LEAF} AND pivot.id <> m.id AND pivot.label <> m.label AND {_candidate('pivot', 'm')}").select(F.col("pivot.id").alias("u"), F.col("m.id").alias("v"))
-        pairs = within.union(star)
-        big = met.filter(f"size > {LEAF}")
-        if depth == MAX_DEPTH:
-            rest = big.select("node", "m")
-            crowd = rest.groupBy("node", "m.label").count().groupBy("node").agg(F.max_by("label", "count").alias("main"))
-            outside = rest.join(crowd, "node").filter("m.label <> main").select("node", F.col("m").alias("o"))
-            left = rest.join(outside, "node").filter(f"m.id <> o.id AND m.label <> o.label AND {_candidate('m', 'o')}")
-            pairs = pairs.union(left.selectExpr("least(m.id, o.id) AS u", "greatest(m.id, o.id) AS v"))
-        pairs = scratch.table(pairs.distinct(), f"pairs-{depth}")
-        if not pairs.isEmpty():
-            found = _confirm(spark, pairs, texts, scratch, f"confirm-{depth}")
-            links = found if links is None else links.union(found)
-        scratch.drop(f"pairs-{depth}")
-        if depth == MAX_DEPTH or big.isEmpty():
-            break
-        labelled = big.select("node", "m.id", "m.n_shingles", "m.sketch1", "m.sketch2")
-        if links is not None:
-            labels = components(links, scratch, f"labels-{depth}")
-            labelled = labelled.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        else:
-            labelled = labelled.withColumn("label", F.col("id"))
-        open_nodes = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
-        labelled = labelled.join(open_nodes, "node", "left_semi").join(sigs.select("id", "signature"), "id")
-        free = COORDINATES - TREES * BRANCHES
-        first, gap = f"pmod(xxhash64(node, {depth}), {free})", f"1 + pmod(xxhash64(node, {depth}, 1), {free - 1})"
-        choices = f"array(CAST({first} AS INT), CAST(pmod({first} + {gap}, {free}) AS INT))"
-        nodes = labelled.withColumn("c", F.explode(F.expr(choices))).withColumn("c", F.col("c") + TREES * BRANCHES)
-        nodes = nodes.select(F.expr("xxhash64(node, c, signature[c])").alias("node"), "id", "n_shingles", "sketch1", "sketch2", "label")
-        nodes = scratch.table(nodes, f"nodes-{depth}")
-        scratch.drop(f"met-{depth}", f"nodes-{depth - 1}")
-    if links is None:
-        links = spark.createDataFrame([], "u long, v long")
-    links = links.distinct()
+    leaf = scratch.table(leaves(sigs, scratch), "leaves")
+    leaf = leaf.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).drop("size")
+    marks = leaf.join(sigs.select("id", "n_shingles", "sketch1", "sketch2"), "id")
+    edges = map_arrow(_in_blocks(marks, "id", "n_shingles", "sketch1", "sketch2"), _emit_forest, "u long, v long")
+    edges = scratch.table(edges.distinct(), "forest")
+    active = scratch.table(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "active")
+    wanted = active.withColumnRenamed("id", "doc_id")
+    if active.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _emit_sets, "id long, shingles array<long>, tokens binary")
+    sets = scratch.table(sets.dropDuplicates(["id"]), "sets")
+    links = _confirm(edges, sets, scratch, "links-1")
+    labels = components(links, scratch, "first")
+    # what is left: pairs across components, in leaves that hold several
+    named = active.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    near = scratch.table(leaf.join(named, "id"), "near")
+    mixed = near.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
+    near = near.join(mixed, "node", "left_semi").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
+    near = scratch.table(near, "near-sets")
+    found = map_arrow(_in_blocks(near, "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
+    found = scratch.table(found.distinct().join(near.select("node", "id", "label", "n_shingles"), ["node", "id"]), "involved")
+    volume = F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("n_shingles") / VOLUME)).cast("int")
+    found = found.join(found.groupBy("node").agg(volume.alias("blocks")), "node").join(sets.select("id", "shingles"), "id")
+    pairs = map_arrow(_in_blocks(found, "id", "label", "shingles"), _emit_across, "u long, v long")
+    links = links.union(scratch.table(pairs.distinct(), "links-2"))
     labels = components(links, scratch, "final")
     degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     known = members.join(labels, "id", "left").join(degree, "id", "left")
