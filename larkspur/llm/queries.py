@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.OP1_SQL,
     "op4_source_mix": mixing.OP4_SQL,
     "op5_repeated_spans": substring_dedup.OP5_SQL,
     "op6_line_spread": line_dedup.OP6_SQL,
     "op9_top_inner_products": topk_ip.OP9_SQL,
+    "op10_shards": sharding.OP10_SQL,
 }

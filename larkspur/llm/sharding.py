@@ -73,3 +73,33 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
     return shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _sql_draw(count: str, weight: str, *path: str) -> str:
+    key = " || '/' || ".join(("k", *path, "c::VARCHAR"))
+    u = f"((('0x' || substr(md5({key}), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
+    return f"list_min(list_transform(range({count}), lambda c: {{'draw': -ln({u}) / ({weight}), 'c': c}})).c"
+
+
+def _sql_place(source: str, shards: int) -> str:
+    """SQL for the descent in a tree of ``shards``, racks of 5 and regions of 10."""
+    held = f"least(10, {shards} - region * 10)"
+    return f"""
+      (SELECT doc_id, region * 10 + rack * 5 + {_sql_draw(f"least(5, ({held}) - rack * 5)", "1", "'shard'", "region::VARCHAR", "rack::VARCHAR")} AS shard FROM
+        (SELECT *, {_sql_draw(f"ceil(({held}) / 5.0)::BIGINT", f"least(5, ({held}) - c * 5)", "'rack'", "region::VARCHAR")} AS rack FROM
+          (SELECT *, {_sql_draw(f"ceil({shards} / 10.0)::BIGINT", f"least(10, {shards} - c * 10)", "'region'")} AS region FROM {source})))"""
+
+
+#: CRC32 byte by byte: its table follows from the polynomial, written here as the number 3988292384.
+OP10_SQL = f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, doc_id::VARCHAR AS k, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, k, (len(h) // 2 + 16)::BIGINT AS size,
+        xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32
+      FROM d, tab),
+a AS {_sql_place("d", 40)},
+b AS {_sql_place("d", 41)},
+s AS (SELECT c.*, a.shard, b.shard AS grown, ('0x' || substr(md5('bucket/' || k), 1, 4))::BIGINT % 256 AS bucket FROM c JOIN a USING (doc_id) JOIN b USING (doc_id))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY bucket, k, text_crc32, size) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard FROM s
+"""
