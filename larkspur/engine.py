@@ -210,7 +210,10 @@ class Engine:
 
     def _rows(self, query: str) -> Iterator[Row]:
         result = self.execute(query)
-        return result.rows() if result.kind == "query" else iter(())
+        if result.kind != "query":
+            return iter(())
+        # bare names, repeated where tables share them: a procedure takes the first that fits
+        return result.relation.df.toDF(*(a.name for a in result.relation.attrs)).toLocalIterator()
 
     def create_workload(self, name: str, size: int) -> int:
         """Table ``name(i, s, t)`` of ``size`` rows ``(k, 'k', 'k')`` with an index on ``s``; 0 on success."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from typing import Any
 
+from ..errors import SemanticError
 from ..functions.domains import Literal
 
 
@@ -198,7 +199,7 @@ def conjunctions(where: Any) -> list[tuple[Compare, ...]]:
             return expand(node.left) + expand(node.right)
         if node.op == "AND":
             return [a | b for a in expand(node.left) for b in expand(node.right)]
-        raise ValueError(f"{node.op} has no alternatives of plain comparisons")
+        raise SemanticError(f"{node.op} has no alternatives of plain comparisons")
 
     kept: list[frozenset[Compare]] = []
     for one in sorted(dict.fromkeys(expand(where)), key=len):

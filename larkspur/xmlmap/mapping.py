@@ -34,11 +34,11 @@ def link_table(parent: str, child: str) -> str:
     return f"E_{parent}__to__E_{child}"
 
 
-def _columns(dtd: DTD, name: str) -> list[tuple[str, str, str]]:
+def _columns(dtd: DTD, name: str, id_type: str) -> list[tuple[str, str, str]]:
     """``(column, SQL type, marks)`` of an element's table."""
     e = dtd.elements[name]
-    out = [("id", "UINT", " PRIMARY KEY")]
-    out += [(element_table(c), "UINT", "") for c, q in e.children.items() if q != MANY]
+    out = [("id", id_type, " PRIMARY KEY")]
+    out += [(element_table(c), id_type, "") for c, q in e.children.items() if q != MANY]
     for a in e.attributes.values():
         out.append((f"A_{a.name}", a.type, ""))
         if not a.required:
@@ -48,21 +48,21 @@ def _columns(dtd: DTD, name: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def statements(dtd: DTD) -> list[str]:
-    """The CREATE TABLE and CREATE INDEX statements of the mapping."""
+def statements(dtd: DTD, id_type: str = "UINT") -> list[str]:
+    """The CREATE TABLE and CREATE INDEX statements of the mapping; ``id_type`` LONG holds more documents."""
     out = []
     for name, e in dtd.elements.items():
         table = element_table(name)
-        out.append(f"CREATE TABLE {table} ({', '.join(f'{c} {kind}{mark}' for c, kind, mark in _columns(dtd, name))});")
+        out.append(f"CREATE TABLE {table} ({', '.join(f'{c} {kind}{mark}' for c, kind, mark in _columns(dtd, name, id_type))});")
         out += [f"CREATE INDEX ON {table} (A_{a.name});" for a in e.attributes.values() if a.is_id]
         for child, q in e.children.items():
             if q == MANY:
-                out.append(f"CREATE TABLE {link_table(name, child)} (id UINT PRIMARY KEY, {table} UINT FOREIGN KEY({table},id), {element_table(child)} UINT);")
+                out.append(f"CREATE TABLE {link_table(name, child)} (id {id_type} PRIMARY KEY, {table} {id_type} FOREIGN KEY({table},id), {element_table(child)} {id_type});")
     return out
 
 
-def create(engine: Engine, dtd: DTD) -> None:
-    for statement in statements(dtd):
+def create(engine: Engine, dtd: DTD, id_type: str = "UINT") -> None:
+    for statement in statements(dtd, id_type):
         engine.define(statement)
 
 
@@ -117,8 +117,8 @@ def _parse(text: str) -> ET.Element:
 def load(engine: Engine, dtd: DTD, documents: DataFrame) -> dict[str, int]:
     """Insert ``documents(doc_no int, xml string)``; rows inserted for each table.
 
-    ``doc_no`` is less than 256 and keeps documents apart: ids are unsigned
-    32-bit numbers, ``ID_STRIDE`` of them for each document.
+    ``doc_no`` keeps documents apart, each with ``ID_STRIDE`` ids: it is less
+    than 256 with UINT ids and less than 2**39 with LONG ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def load(engine: Engine, dtd: DTD, documents: DataFrame) -> dict[str, int]:
                     rows.append([(k, str(v)) for k, v in row.items()])
             yield pa.RecordBatch.from_arrays([pa.array(tables, pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["t", "r"])
 
-    shredded = documents.select("doc_no", "xml").mapInArrow(run, "t string, r map<string,string>").persist()
+    shredded = documents.select(F.col("doc_no").cast("long").alias("doc_no"), "xml").mapInArrow(run, "t string, r map<string,string>").persist()
     try:
         counts = {}
         names = [row[0] for row in shredded.select("t").distinct().collect()]

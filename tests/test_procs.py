@@ -80,3 +80,10 @@ def test_missing_return(engine):
     engine.create_procedure("PROCEDURE p(INT x) BEGIN x := 1; END")
     assert not engine.execute("p(1);").success
     assert not engine.execute("p(1, 2);").success
+
+
+def test_first_of_equal_names_counts(engine):
+    engine.define("CREATE TABLE q (s STRING(8), i INT);")
+    engine.modify("INSERT INTO q (q.s, q.i) VALUES ('5', 77);")
+    engine.create_procedure('PROCEDURE f(STRING query) BEGIN TUPLE t; AUTO v; FOREACH (t IN query) v := !attrval(t, "i"); RETURN v; END')
+    assert engine.procedure("f('JOIN r, q ON r.s = q.s');") == 0

@@ -67,3 +67,14 @@ def test_many_documents(spark):
     load(e, dtd, spark.createDataFrame([(i, DOC.replace("Ann", f"Ann{i}")) for i in range(3)], "doc_no int, xml string"))
     assert [x.text for x in find(e, dtd, "/shelf/item/writer")][::3] == ["Ann0", "Ann1", "Ann2"]
     assert e.procedure("COUNT('SELECT FROM E_item');") == 6
+
+
+def test_long_ids(spark):
+    dtd, e = parse_dtd(DOC), Engine(spark)
+    create(e, dtd, "LONG")
+    load_text(e, dtd, DOC, doc_no=1 << 30)
+    assert [x.text for x in find(e, dtd, "/shelf/item/writer")] == ["Ann", "Ben", "Cem"]
+    small = Engine(spark)
+    create(small, dtd)
+    with pytest.raises(SemanticError):
+        load_text(small, dtd, DOC, doc_no=1 << 30)
