@@ -54,7 +54,7 @@ class Compiler:
         if node.where is None:
             return source
         if self.or_mode == "bag":
-            return source.with_df(reduce(lambda a, b: a.unionAll(b), (source.df.filter(c) for c in alternatives(source, node.where))))
+            return replace(source, df=reduce(lambda a, b: a.unionAll(b), (source.df.filter(c) for c in alternatives(source, node.where))), keys=())
         return source.with_df(source.df.filter(condition(source, node.where)))
 
     def _project(self, node: t.Project) -> Relation:
@@ -66,7 +66,8 @@ class Compiler:
             phys = attr.phys if seen[attr.phys] == 1 else f"{attr.phys}:{seen[attr.phys]}"
             columns.append(F.col(f"`{attr.phys}`").alias(phys))
             attrs.append(replace(attr, phys=phys))
-        return Relation(source.df.select(*columns), tuple(attrs))
+        kept = {a.phys for a in attrs}
+        return Relation(source.df.select(*columns), tuple(attrs), tuple(k for k in source.keys if k <= kept))
 
     def _join(self, node: t.Join) -> Relation:
         left, right = self.compile(node.left), self.compile(node.right)
@@ -74,17 +75,18 @@ class Compiler:
         if shared:
             raise SemanticError(f"both sides of the join have {min(map(str, shared))}")
         attrs = left.attrs + right.attrs
+        keys = tuple(a | b for a in left.keys for b in right.keys)
         if node.on is None:
             pairs = [(a, b) for a in left.attrs for b in right.attrs if a.name == b.name and a.domain == b.domain != OTHER]
             if not pairs:
                 # a product is what the statement asks for
-                return Relation(left.df.crossJoin(right.df), attrs)
+                return Relation(left.df.crossJoin(right.df), attrs, keys)
             on = reduce(operator.and_, (left.df[f"`{a.phys}`"] == right.df[f"`{b.phys}`"] for a, b in pairs))
-            return Relation(left.df.join(right.df, on, "inner"), attrs)
+            return Relation(left.df.join(right.df, on, "inner"), attrs, keys)
         both = _Sides(left, right)
         if self.or_mode == "bag":
             return Relation(reduce(lambda a, b: a.unionAll(b), (left.df.join(right.df, c, "inner") for c in alternatives(both, node.on))), attrs)
-        return Relation(left.df.join(right.df, condition(both, node.on), "inner"), attrs)
+        return Relation(left.df.join(right.df, condition(both, node.on), "inner"), attrs, keys)
 
     def _union(self, node: t.Union) -> Relation:
         left, right = self.compile(node.left), self.compile(node.right)
@@ -92,7 +94,7 @@ class Compiler:
             raise SemanticError("both sides of a union need the same domains")
         if self.strict and [a.key for a in left.attrs] != [a.key for a in right.attrs]:
             raise SemanticError("both sides of a union need the same attributes")
-        return left.with_df(left.df.unionAll(right.df))
+        return replace(left, df=left.df.unionAll(right.df), keys=())
 
     def _sort(self, node: t.Sort) -> Relation:
         source = self.compile(node.source)
@@ -105,7 +107,9 @@ class Compiler:
             keys.append(column.asc() if key.ascending else column.desc())
         used = {source.find(k.attr).phys for k in node.keys}
         ties = [F.col(f"`{a.phys}`").asc() for a in source.attrs if a.phys not in used and a.domain != OTHER]
-        return source.with_df(source.df.dropDuplicates().orderBy(*keys, *ties))
+        # a known key makes rows distinct already and saves the shuffle that would tell
+        rows = source.df if source.keys else source.df.dropDuplicates()
+        return replace(source, df=rows.orderBy(*keys, *ties), keys=source.keys or (frozenset(a.phys for a in source.attrs),))
 
 
 class _Sides(Relation):

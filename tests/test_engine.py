@@ -229,3 +229,12 @@ def test_streams(spark, tmp_path):
     assert spark.table("larkspur_s").count() == 5
     with pytest.raises(SemanticError):
         over_stream(Engine(spark), "s", stream, "SORT s BY s.a;")
+
+
+def test_keys_save_the_shuffle_of_a_sort(staff):
+    plan = lambda text: staff.query(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan("SORT (SELECT FROM staff WHERE staff.name > 'A') BY staff.note;")
+    assert "Aggregate" in plan("SORT (PROJECT staff OVER staff.note) BY staff.note;")
+    assert "Aggregate" in plan("SORT (UNION staff, staff) BY staff.note;")
+    assert "Aggregate" in plan("SORT (JOIN staff, pay) BY pay.age;")
+    assert len(rows(staff, "SORT (UNION staff, staff) BY staff.note;")) == 4
