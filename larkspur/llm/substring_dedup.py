@@ -8,11 +8,15 @@ from the words alone, so a window that occurs twice lies twice on paths of one
 anchor, and paths of an anchor met once are done with.
 
 Of the rest, an anchor all of whose occurrences are the same path does not
-branch: the path is compacted, one row stands for its windows, and a Spark join
-hands "repeated" to every source coordinate.  An anchor with several paths
-branches: one source coordinate of each distinct path is opened again, its
-windows are counted with the path's multiplicity, and a join carries back which
-of them occur elsewhere.  Spans are verified and cut at source coordinates.
+branch.  Such paths are compacted by Spark joins: a join of source coordinates
+finds which path follows which; where every occurrence of one is followed by the
+other and every occurrence of the other preceded by the one, the two are links
+of one nonbranching path, and pointer doubling gives each chain its head and
+length.  Only occurrences of heads go back to the documents, as one long span.
+
+An anchor with several paths branches: one source coordinate of each distinct
+path is opened again, its windows are counted with the path's multiplicity, and
+a join carries back which of them occur elsewhere.
 
 Paths and windows are compared under their anchor, by two 64-bit hashes
 together.  Rows are named by a 64-bit hash of ``doc_id`` and text.
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow import map_arrow
 from .scratch import Scratch
+from .skew import salted_join
 from .wordhash import batched_hashes, mix, runs, word_hashes
 
 WINDOW, ANCHOR = 35, 8
@@ -112,12 +117,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.split()
             gone = 0
             if spans[i].is_valid:
-                first, mask = (x.to_numpy() for x in spans[i].values.flatten())
-                row, bit = np.nonzero((mask[:, None] >> bits) & 1)
+                first, count, mask = (x.to_numpy() for x in spans[i].values.flatten())
                 marks = np.zeros(len(words) + 1, dtype=np.int64)
-                starts = np.unique(first[row] + bit)
-                marks[starts] += 1
-                marks[starts + WINDOW] -= 1
+                whole = count > 0
+                np.add.at(marks, first[whole], 1)
+                np.add.at(marks, first[whole] + count[whole] + WINDOW - 1, -1)
+                row, bit = np.nonzero((mask[:, None] >> bits) & 1)
+                starts = first[row] + bit
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, starts + WINDOW, -1)
                 covered = np.cumsum(marks[:-1]) > 0
                 gone = int(covered.sum())
                 words = [words[j] for j in np.flatnonzero(~covered).tolist()]
@@ -127,25 +135,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def compacted(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(row, first, count)`` of nonbranching paths put end to end.
+
+    ``met(row, first, n, id, total)`` has every occurrence of the paths, ``n``
+    windows long; ``total`` counts the occurrences of ``id``.
+    """
+    before = met.select("row", (F.col("first") + F.col("n")).alias("first"), F.col("id").alias("up"), F.col("total").alias("up_total"))
+    steps = met.select("row", "first", "id", "total").join(before, ["row", "first"])
+    steps = steps.groupBy("up", "id").agg(F.count(F.lit(1)).alias("seen"), F.first("up_total").alias("up_total"), F.first("total").alias("total"))
+    links = scratch.table(steps.filter("seen = total AND seen = up_total").select("id", "up"), "links-0")
+    # pointer doubling; a document ends, so no chain of links can close to a ring
+    turn = 0
+    while True:
+        above = links.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        doubled = links.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved"))
+        turn += 1
+        doubled = scratch.table(doubled, f"links-{turn}")
+        scratch.drop(f"links-{turn - 1}")
+        links = doubled.select("id", "up")
+        if doubled.filter("moved").isEmpty():
+            break
+    sizes = met.select("id", "n").groupBy("id").agg(F.first("n").alias("n"))
+    rest = links.join(sizes, "id").groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("rest"))
+    heads = salted_join(met, links.select("id"), "id", ["row"], "left_anti")
+    heads = salted_join(heads, rest, "id", ["row"], "left")
+    return heads.select("row", "first", (F.col("n") + F.coalesce("rest", F.lit(0))).alias("count"))
+
+
 def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(row, spans)`` for ``rows(row, text)``: per path with repeated windows its first window and a bit per window."""
+    """``(row, spans)`` for ``rows(row, text)``.
+
+    A span is its first window and either a count of windows, all repeated, or
+    (count 0) a bit for each window that is.
+    """
     found = scratch.table(map_arrow(rows, _emit_paths, "anchor long, path long, row long, at long"), "paths")
     again = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    hits = scratch.table(found.join(again, "anchor", "left_semi"), "hits")
+    hits = scratch.table(salted_join(found, again, "anchor", ["row"], "left_semi"), "hits")
     scratch.drop("paths")
     kinds = hits.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("source"))
     kinds = scratch.table(kinds, "kinds")
     forks = kinds.groupBy("anchor").count().filter("count > 1").select("anchor")
-    straight = kinds.join(forks, "anchor", "left_anti").select("anchor", "path", F.expr("shiftleft(1L, CAST(source.at & 63 AS INT)) - 1").alias("mask"))
     branching = kinds.join(forks, "anchor", "left_semi").groupBy("source.row").agg(F.collect_list(F.struct("anchor", "path", "n", F.col("source.at").alias("at"))).alias("opened"))
     # rows that are copies of one another share a name; one of them is opened
     opened = map_arrow(rows.join(branching, "row").dropDuplicates(["row"]), _open_paths, "anchor long, path long, n long, windows array<long>")
     windows = scratch.table(opened.select("anchor", "path", "n", F.posexplode("windows").alias("bit", "window")), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "window")
     partly = windows.join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    repeated = scratch.table(straight.union(partly), "repeated")
-    spans = hits.join(repeated, ["anchor", "path"]).select("row", F.expr("shiftright(at, 6)").alias("first"), "mask").distinct()
-    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("spans"))
+    straight = kinds.join(forks, "anchor", "left_anti").select("anchor", "path", F.col("n").alias("total"), F.lit(0).cast("long").alias("mask"))
+    wanted = scratch.table(straight.unionByName(partly.withColumn("total", F.lit(0).cast("long"))), "wanted")
+    # from here a path is named by one hash of its anchor and itself
+    wanted = wanted.select(F.xxhash64("anchor", "path").alias("id"), "total", "mask")
+    named = hits.select("row", F.shiftright("at", 6).alias("first"), F.col("at").bitwiseAND(63).alias("n"), F.xxhash64("anchor", "path").alias("id"))
+    met = salted_join(named, wanted, "id", ["row"])
+    met = scratch.table(met.select("row", "first", "n", "id", "total", "mask"), "met")
+    scratch.drop("hits")
+    whole = compacted(met.filter("total > 0").drop("mask"), scratch).select("row", "first", "count", F.lit(0).cast("long").alias("mask"))
+    spans = whole.union(met.filter("total = 0").select("row", "first", F.lit(0).cast("long").alias("count"), "mask")).distinct()
+    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "count", "mask")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
