@@ -96,11 +96,12 @@ def with_next(rows: DataFrame, carried: list[str], scratch: Scratch) -> DataFram
     heads = F.broadcast(scratch.table(heads.withColumn("_to", after).select(F.col("_b").alias("_hb"), "_head", "_to"), "heads"))
     placed = rows.join(heads, (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left")
     own, lent = F.struct(F.col("_b").alias("b"), F.lit(0).alias("lent")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("lent"))
-    placed = placed.withColumn("_p", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, lent)))).drop("_b", "_hb", "_head", "_to")
-    w = Window.partitionBy("_p.b").orderBy("_p.lent", F.col("doc_id").desc_nulls_last(), "text_hash")
-    for c in carried:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(w))
-    return placed.filter("_p.lent = 0").drop("_p")
+    placed = placed.withColumn("_p", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, lent))))
+    placed = placed.select(*rows.columns, F.col("_p.b").alias("_bucket"), F.col("_p.lent").alias("_lent")).drop("_b")
+    # plain columns and one select, so that both leads share one exchange and one sort
+    w = Window.partitionBy("_bucket").orderBy("_lent", F.col("doc_id").desc_nulls_last(), "text_hash")
+    placed = placed.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
+    return placed.filter("_lent = 0").drop("_bucket", "_lent")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
