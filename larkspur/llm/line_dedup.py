@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import Scratch
+from .skew import salted_join
 
 MIN_SITES = 5
 LG_K = 12
@@ -27,15 +28,15 @@ BAND = 0.06
 
 
 def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """``(line)`` hashes of ``lines(line, site)`` that occur on ``min_sites`` sites or more."""
+    """``(line)`` hashes of ``lines(line, site, _id, _text)`` that occur on ``min_sites`` sites or more."""
     often = lines.groupBy("line").count().filter(F.col("count") >= min_sites).select("line")
-    often = scratch.table(lines.select("line", "site").join(often, "line", "left_semi"), "often")
+    often = scratch.table(salted_join(lines.select("line", "site", "_id", "_text"), often, "line", ["_id", "_text"], "left_semi").select("line", "site"), "often")
     spread = often.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     spread = scratch.table(spread, "spread")
     low, high = min(min_sites * (1 - BAND), min_sites - 1), max(min_sites * (1 + BAND), min_sites + 1)
     clear = spread.filter(F.col("sites") > high).select("line")
     close = spread.filter((F.col("sites") >= low) & (F.col("sites") <= high)).select("line")
-    exact = often.join(close, "line", "left_semi").distinct().groupBy("line").count().filter(F.col("count") >= min_sites).select("line")
+    exact = salted_join(often, close, "line", ["site"], "left_semi").distinct().groupBy("line").count().filter(F.col("count") >= min_sites).select("line")
     return clear.union(exact)
 
 
@@ -50,9 +51,10 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int
     lines = scratch.table(lines, "lines")
     found = scratch.table(boilerplate_lines(lines, scratch, min_sites), "boilerplate")
     # the site column is not needed from here; met() reads the lines that are boilerplate
-    met = lines.select("line", F.struct("last", "_id", "_text", "pos").alias("at")).join(found, "line", "left_semi")
+    places = lines.select("line", "_id", "_text", F.struct("last", "_id", "_text", "pos").alias("at"))
+    met = scratch.table(salted_join(places, found, "line", ["_id", "_text"], "left_semi"), "met")
     first = met.groupBy("line").agg(F.min("at").alias("first"))
-    gone = met.join(first, "line").filter("at <> first").groupBy("at._id", "at._text").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
+    gone = salted_join(met, first, "line", ["_id", "_text"]).filter("at <> first").groupBy("at._id", "at._text").agg(F.sort_array(F.collect_set("at.pos")).alias("_gone"))
     out = keyed.join(gone, ["_id", "_text"], "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
