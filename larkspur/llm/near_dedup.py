@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow import map_arrow
 from .graph import components
 from .scratch import Scratch
+from .skew import salted_join
 from .wordhash import batched_hashes, mix, runs
 
 SHINGLE = 5
@@ -216,7 +217,7 @@ def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = sigs.select("id", F.explode(roots).alias("r")).select(F.xxhash64("r.c", "r.token").alias("node"), "id")
     out, free = [], COORDINATES - TREES * BRANCHES
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    grown = scratch.table(nodes.join(sizes, "node"), "nodes-0")
+    grown = scratch.table(salted_join(nodes, sizes, "node", ["id"]), "nodes-0")
     for depth in range(MAX_DEPTH):
         out.append(grown.filter(F.col("size") <= LEAF))
         big = grown.filter(F.col("size") > LEAF)
@@ -230,9 +231,9 @@ def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
         sizes = children.groupBy("node", "parent", "whole").agg(F.count(F.lit(1)).alias("size"))
         stuck = sizes.groupBy("parent").agg(F.max(F.col("size") * 2 >= F.col("whole")).alias("stuck"))
         stuck = scratch.table(stuck.filter("stuck").select(F.col("parent").alias("node")), f"stuck-{depth}")
-        out.append(big.join(stuck, "node", "left_semi"))
+        out.append(salted_join(big, stuck, "node", ["id"], "left_semi"))
         sizes = sizes.filter("size > 1").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
-        grown = scratch.table(children.select("node", "id").join(sizes, "node"), f"nodes-{depth + 1}")
+        grown = scratch.table(salted_join(children.select("node", "id"), sizes, "node", ["id"]), f"nodes-{depth + 1}")
     return _union([*out, grown])
 
 
@@ -293,12 +294,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = active.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     near = scratch.table(leaf.join(named, "id"), "near")
     mixed = near.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
-    near = near.join(mixed, "node", "left_semi").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
+    near = salted_join(near, mixed, "node", ["id"], "left_semi").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
     near = scratch.table(near, "near-sets")
     found = map_arrow(_in_blocks(near, "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
     found = scratch.table(found.distinct().join(near.select("node", "id", "label", "n_shingles"), ["node", "id"]), "involved")
     volume = F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("n_shingles") / VOLUME)).cast("int")
-    found = found.join(found.groupBy("node").agg(volume.alias("blocks")), "node").join(sets.select("id", "shingles"), "id")
+    found = salted_join(found, found.groupBy("node").agg(volume.alias("blocks")), "node", ["id"]).join(sets.select("id", "shingles"), "id")
     pairs = map_arrow(_in_blocks(found, "id", "label", "shingles"), _emit_across, "u long, v long")
     links = links.union(scratch.table(pairs.distinct(), "links-2"))
     labels = components(links, scratch, "final")
