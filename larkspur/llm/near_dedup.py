@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.table(map_arrow(texts, _sign, _SIGNED), "signed")
     one_set = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    members = signed.select("doc_id", "n_shingles", "set1", "set2").join(one_set, ["set1", "set2", "n_shingles"], "left")
+    members = salted_join(signed.select("doc_id", "n_shingles", "set1", "set2"), one_set, ["set1", "set2", "n_shingles"], ["doc_id"], "left")
     members = scratch.table(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")
     sigs = signed.join(one_set.withColumnRenamed("id", "doc_id"), ["doc_id", "set1", "set2", "n_shingles"], "left_semi")
     sigs = scratch.table(sigs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch1", "sketch2", "signature"), "signatures")

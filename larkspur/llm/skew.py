@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 SALTS = 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right``, unique by ``key``, on ``key``.
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, unique by ``key``, on ``key`` (one column or several).
 
     Rows of a key are dealt to ``SALTS`` tasks by a hash of the ``spread``
     columns; the right side, one row a key, is repeated for each of them.
     """
     left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
