@@ -176,13 +176,13 @@ def repeated_windows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     kinds = hits.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("source"))
     kinds = scratch.table(kinds, "kinds")
     forks = kinds.groupBy("anchor").count().filter("count > 1").select("anchor")
-    branching = kinds.join(forks, "anchor", "left_semi").groupBy("source.row").agg(F.collect_list(F.struct("anchor", "path", "n", F.col("source.at").alias("at"))).alias("opened"))
+    branching = salted_join(kinds, forks, "anchor", ["path"], "left_semi").groupBy("source.row").agg(F.collect_list(F.struct("anchor", "path", "n", F.col("source.at").alias("at"))).alias("opened"))
     # rows that are copies of one another share a name; one of them is opened
     opened = map_arrow(rows.join(branching, "row").dropDuplicates(["row"]), _open_paths, "anchor long, path long, n long, windows array<long>")
     windows = scratch.table(opened.select("anchor", "path", "n", F.posexplode("windows").alias("bit", "window")), "windows")
     twice = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "window")
     partly = windows.join(twice, ["anchor", "window"], "left_semi").groupBy("anchor", "path").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    straight = kinds.join(forks, "anchor", "left_anti").select("anchor", "path", F.col("n").alias("total"), F.lit(0).cast("long").alias("mask"))
+    straight = salted_join(kinds, forks, "anchor", ["path"], "left_anti").select("anchor", "path", F.col("n").alias("total"), F.lit(0).cast("long").alias("mask"))
     wanted = scratch.table(straight.unionByName(partly.withColumn("total", F.lit(0).cast("long"))), "wanted")
     # from here a path is named by one hash of its anchor and itself
     wanted = wanted.select(F.xxhash64("anchor", "path").alias("id"), "total", "mask")
