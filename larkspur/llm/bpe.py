@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .arrow import map_arrow
+from .arrow import cuts, map_arrow
 
 NONE = np.int64(1) << np.int64(60)
 CACHE_WORDS = 300_000
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -163,17 +163,6 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) <= CHUNK_CHARS):
-            total += len(texts[end])
-            end += 1
-        yield at, end
-        at = end
-
-
 def _added(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
     names = {n for n, _ in new}
     return T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, t) for n, t in new])
@@ -190,10 +179,9 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", decode: bool = False, pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            for at, end in _chunks(texts):
-                ids = bpe.encode(texts[at:end])
-                rows = batch.slice(at, end - at)
+            for at, n in cuts(batch.column(text_col), CHUNK_BYTES):
+                rows = batch.slice(at, n)
+                ids = bpe.encode([x or "" for x in rows.column(text_col).to_pylist()])
                 columns = {f: rows.column(f) for f in rows.schema.names} | {"ids": pa.array(ids, pa.list_(pa.int32()))}
                 if decode:
                     columns["decoded"] = pa.array([bpe.decode(x) for x in ids], pa.string())

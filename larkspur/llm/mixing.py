@@ -13,28 +13,39 @@ source misses its target by at most half a document.  The cut is found without
 sorting a source: words are summed by (source, hash bucket), and only the bucket
 that holds the cut is ordered.  All of it is DataFrame expressions.
 
-Defined results: null and empty texts have size 0; a null source is a source of
-its own, ranked last; a source without words has target 0; rows that share
-``doc_id`` are taken alike (null ids: alike by text); an empty table gives no
-rows; extra columns pass through, those named like an output are replaced.
+Defined results: null and empty texts have size 0 and are repeated as often as
+the whole repetitions of their source, and once more where the fraction's sample
+holds them; a source without a fraction is repeated whole only, so no document
+of it exceeds ``max_epochs`` (rounded up where that is no integer); a null
+source is a source of its own, ranked last; a source without words has target 0
+and is not taken; rows that share ``doc_id`` are taken alike (null ids: alike by
+text); an empty table gives no rows.  Extra columns pass through whatever their
+names: ``mixed_documents`` returns the input's columns unchanged, ``mix_counts``
+returns its own ``size``, ``source_size``, ``target``, ``copies`` and ``taken``
+in place of input columns of those names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .columns import Carried
 from .scratch import Scratch
 
 SHARE, MAX_EPOCHS, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), "mix-1"
 BUCKET_DIGITS = 3
 #: Per-source plans are broadcast up to this many sources, about 50 bytes each.
 BROADCAST_SOURCES = 100_000
+OUTPUTS = ("size", "source_size", "target", "copies", "taken")
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")).withColumn("_draw", F.md5(F.concat(F.lit(seed + ":"), name)))
+def _sized(docs: Carried, seed: str) -> DataFrame:
+    """The carried input with ``source``, ``size`` and ``_draw``."""
+    text = docs["text"].cast("string")
+    name = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    size = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    return docs.df.select("*", docs["source"].cast("string").alias("source"), size.alias("size"), F.md5(F.concat(F.lit(seed + ":"), name)).alias("_draw"))
 
 
 def water_fill(sources: DataFrame, share: float, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
@@ -77,8 +88,8 @@ def mixing_plan(sized: DataFrame, scratch: Scratch, share: float, max_epochs: fl
     first = cut.select("source", F.col("cut._slot").alias("opens"))
     out = plan.join(first, plan.source.eqNullSafe(first.source), "left").drop(first.source)
     out = out.join(last, out.source.eqNullSafe(last.source), "left").drop(last.source)
-    # below "opens" all is taken; in its bucket up to "last"; a source that is never cut takes all it may
-    until = F.when(F.col("opens").isNull(), F.lit("g")).otherwise(F.coalesce("last", "opens"))
+    # below "opens" all is taken; in its bucket up to "last"; no draw lies at or below the empty text
+    until = F.when((F.col("wanted") <= 0) | F.col("opens").isNull(), F.lit("")).otherwise(F.coalesce("last", "opens"))
     return scratch.table(out.select("source", "source_size", "target", "whole", until.alias("until")), "cuts")
 
 
@@ -89,26 +100,34 @@ def _attach(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return rows.join(keyed, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
-def mix_counts(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+def _counted(docs: Carried, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """The input's rows with ``copies`` and what it follows from, under all carried columns and under ``doc_id`` alone."""
+    scratch = Scratch(docs.df.sparkSession, "mix")
+    sized = _sized(docs, seed)
+    small = scratch.table(sized.select(docs["doc_id"].alias("doc_id"), "source", "size", "_draw"), "sized")
+    plan = mixing_plan(small, scratch, share, max_epochs, weights)
+    copies = F.when(F.col("source_size") > 0, F.col("whole") + F.when(F.col("_draw") <= F.col("until"), 1).otherwise(0)).otherwise(0)
+    finish = lambda df: _attach(df, plan).withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+    return finish(sized), finish(small)
+
+
+def mix_counts(docs: DataFrame, keep_text: bool = True, **settings) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``; settings are those of ``_counted``.
 
     ``keep_text=False`` returns only ``doc_id`` and ``source`` of the input's columns.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    outputs = {"size", "source_size", "target", "copies", "taken", "whole", "until", "_draw"}
-    sized = _sized(docs.drop(*(c for c in docs.columns if c in outputs)), seed)
-    small = scratch.table(sized.select("doc_id", "source", "size", "_draw"), "sized")
-    plan = mixing_plan(small, scratch, share, max_epochs, weights)
-    out = _attach(sized if keep_text else small, plan)
-    copies = F.when(F.col("source_size") > 0, F.col("whole") + F.when(F.col("_draw") <= F.col("until"), 1).otherwise(0)).otherwise(0)
-    out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("whole", "until", "_draw")
+    carried = Carried(docs)
+    whole, small = _counted(carried, **settings)
+    if not keep_text:
+        return small.select("doc_id", "source", *OUTPUTS)
+    return whole.select(*carried.restored(*OUTPUTS), *OUTPUTS)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    counted = mix_counts(docs, **settings).filter("copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    carried = Carried(docs)
+    counted = _counted(carried, **settings)[0].filter("copies > 0")
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*carried.restored())
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -135,6 +154,6 @@ j AS (
   SELECT d.doc_id, d.size, h.source_size, h.target, h.whole, h.target - h.whole * h.source_size AS wanted,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - d.size / 2.0 AS middle
   FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
-k AS (SELECT *, CASE WHEN source_size > 0 THEN (whole + CASE WHEN middle <= wanted THEN 1 ELSE 0 END)::INTEGER ELSE 0 END AS copies FROM j)
+k AS (SELECT *, CASE WHEN source_size > 0 THEN (whole + CASE WHEN wanted > 0 AND middle <= wanted THEN 1 ELSE 0 END)::INTEGER ELSE 0 END AS copies FROM j)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM k
 """

@@ -36,7 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import map_arrow
+from .arrow import map_arrow, sliced, utf8
+from .columns import Carried
 from .graph import components
 from .scratch import Scratch
 from .skew import salted_join
@@ -84,17 +85,13 @@ def signature(shingles: np.ndarray, n: int = COORDINATES) -> np.ndarray:
     return best.astype(np.uint32)
 
 
-def _bytes(column) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
-
-
 _SIGNED = "doc_id long, n_shingles int, set1 long, set2 long, sketch1 long, sketch2 long, signature array<int>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, sets, sketches, sigs = [], [], [], []
-        for s in shingle_sets(_bytes(batch.column("text"))):
+        for s in shingle_sets(utf8(batch.column("text"))):
             sizes.append(len(s))
             if not len(s):
                 sets.append((0, 0))
@@ -114,8 +111,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(_bytes(batch.column("text"))))
+    for batch in sliced(batches):
+        sets = list(shingle_sets(utf8(batch.column("text"))))
         tokens = [mix(signature(x, LONG_COORDINATES).astype(np.uint64)).astype(np.uint8).tobytes() for x in sets]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names=["id", "shingles", "tokens"])
 
@@ -216,8 +213,8 @@ def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
     roots = F.array(*(F.struct(F.lit(c).alias("c"), F.col("signature")[c].alias("token")) for c in range(TREES * BRANCHES)))
     nodes = sigs.select("id", F.explode(roots).alias("r")).select(F.xxhash64("r.c", "r.token").alias("node"), "id")
     out, free = [], COORDINATES - TREES * BRANCHES
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    grown = scratch.table(salted_join(nodes, sizes, "node", ["id"]), "nodes-0")
+    sizes = scratch.table(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes-0")
+    grown = scratch.table(salted_join(nodes, sizes, "node", ["id"], rows="size"), "nodes-0")
     for depth in range(MAX_DEPTH):
         out.append(grown.filter(F.col("size") <= LEAF))
         big = grown.filter(F.col("size") > LEAF)
@@ -229,11 +226,12 @@ def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
         children = children.select("id", F.col("node").alias("parent"), F.col("size").alias("whole"), F.expr("xxhash64(node, c, signature[c])").alias("node"))
         children = scratch.table(children, f"children-{depth}")
         sizes = children.groupBy("node", "parent", "whole").agg(F.count(F.lit(1)).alias("size"))
-        stuck = sizes.groupBy("parent").agg(F.max(F.col("size") * 2 >= F.col("whole")).alias("stuck"))
-        stuck = scratch.table(stuck.filter("stuck").select(F.col("parent").alias("node")), f"stuck-{depth}")
+        stuck = sizes.groupBy("parent").agg(F.max(F.col("size") * 2 >= F.col("whole")).alias("stuck"), F.first("whole").alias("n"))
+        stuck = scratch.table(stuck.filter("stuck").select(F.col("parent").alias("node"), "n"), f"stuck-{depth}")
         out.append(salted_join(big, stuck, "node", ["id"], "left_semi"))
         sizes = sizes.filter("size > 1").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
-        grown = scratch.table(salted_join(children.select("node", "id"), sizes, "node", ["id"]), f"nodes-{depth + 1}")
+        sizes = scratch.table(sizes, f"sizes-{depth + 1}")
+        grown = scratch.table(salted_join(children.select("node", "id"), sizes, "node", ["id"], rows="size"), f"nodes-{depth + 1}")
     return _union([*out, grown])
 
 
@@ -270,10 +268,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.table(map_arrow(texts, _sign, _SIGNED), "signed")
-    one_set = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    members = salted_join(signed.select("doc_id", "n_shingles", "set1", "set2"), one_set, ["set1", "set2", "n_shingles"], ["doc_id"], "left")
-    members = scratch.table(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "members")
-    sigs = signed.join(one_set.withColumnRenamed("id", "doc_id"), ["doc_id", "set1", "set2", "n_shingles"], "left_semi")
+    told = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    one_set = signed.filter(told).groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    one_set = scratch.table(one_set, "one-set")
+    members = salted_join(signed.filter(told).select("doc_id", "n_shingles", "set1", "set2"), one_set, ["set1", "set2", "n_shingles"], ["doc_id"]).select("doc_id", "n_shingles", "id")
+    alone = signed.filter(~told).select("doc_id", "n_shingles", F.col("doc_id").alias("id"))
+    members = scratch.table(members.union(alone), "members")
+    sigs = signed.filter(told).join(one_set.select(F.col("id").alias("doc_id"), "set1", "set2", "n_shingles"), ["doc_id", "set1", "set2", "n_shingles"], "left_semi")
     sigs = scratch.table(sigs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sketch1", "sketch2", "signature"), "signatures")
     scratch.drop("signed")
 
@@ -293,13 +294,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what is left: pairs across components, in leaves that hold several
     named = active.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     near = scratch.table(leaf.join(named, "id"), "near")
-    mixed = near.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
+    mixed = near.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    mixed = scratch.table(mixed.select("node", "n"), "mixed")
     near = salted_join(near, mixed, "node", ["id"], "left_semi").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
     near = scratch.table(near, "near-sets")
     found = map_arrow(_in_blocks(near, "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
     found = scratch.table(found.distinct().join(near.select("node", "id", "label", "n_shingles"), ["node", "id"]), "involved")
     volume = F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("n_shingles") / VOLUME)).cast("int")
-    found = salted_join(found, found.groupBy("node").agg(volume.alias("blocks")), "node", ["id"]).join(sets.select("id", "shingles"), "id")
+    blocks = scratch.table(found.groupBy("node").agg(volume.alias("blocks"), F.count(F.lit(1)).alias("n")), "blocks")
+    found = salted_join(found, blocks, "node", ["id"]).join(sets.select("id", "shingles"), "id")
     pairs = map_arrow(_in_blocks(found, "id", "label", "shingles"), _emit_across, "u long, v long")
     links = links.union(scratch.table(pairs.distinct(), "links-2"))
     labels = components(links, scratch, "final")
@@ -309,6 +312,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return known.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs``, all its columns, with one row of each near-duplicate component: that of its least ``doc_id``.
+
+    Of several rows with that id, which names one document, the row of the least
+    hash over all columns stays; rows without an id all stay.  Ids decide, so
+    texts stay where they are as long as the ids to drop are few enough to
+    broadcast; beyond that they are dealt by id once, and hashed, not sorted.
+    """
+    carried = Carried(docs)
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = near_duplicates(carried.df.select(carried["doc_id"].alias("doc_id"), carried["text"].alias("text"))).filter("doc_id IS NOT NULL")
+    found = scratch.table(found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "ids")
+    # what differs from "one row, which stays"
+    gone = found.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("gone_id"))
+    again = found.filter("kept AND n > 1").select(F.col("doc_id").alias("again_id"))
+    rows = carried.df.withColumn("id", carried["doc_id"].cast("long"))
+    single = rows.join(_small_or_hashed(gone), F.col("id") == F.col("gone_id"), "left_anti")
+    each = F.struct(*(f"in_{i}" for i in range(len(carried.names))))
+    if again.isEmpty():
+        return single.select(*carried.restored())
+    several = rows.join(_small_or_hashed(again), F.col("id") == F.col("again_id"), "left_semi")
+    first = several.groupBy("id").agg(F.min_by(each, F.xxhash64(*each_hashable(carried))).alias("row")).select("row.*")
+    return single.drop("id").union(first).select(*carried.restored())
+
+
+def each_hashable(carried: Carried) -> list:
+    """The input's columns that can be hashed (maps and variants can't)."""
+    names = [f"in_{i}" for i in range(len(carried.names))]
+    return [F.col(n) for n in names if not any(word in carried.df.schema[n].dataType.simpleString() for word in ("map<", "variant"))]
+
+
+def _small_or_hashed(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")

@@ -6,15 +6,17 @@ and metadata read from the text (length, word shape, character classes, line
 shape, repetition).  The second-order term is scored in linear time as
 ``(sum v x)**2 - sum (v x)**2``, halved, per factor.
 
-The machine is fitted on the driver from at most ``TRAIN_ROWS`` labelled rows,
-chosen by a hash of ``doc_id`` among those whose ``crc32(doc_id) mod 3`` is not
-1; a fixed seed and order make fits repeat.  Everything else covers all rows.
+The machine is fitted on the driver from at most ``TRAIN_ROWS`` labelled rows of
+together at most ``TRAIN_BYTES`` of text, taken in the order of a hash of
+``doc_id`` among those whose ``crc32(doc_id) mod 3`` is not 1; a fixed seed and
+order make fits repeat.  Everything else covers all rows.
 
 Defined results: null text is scored as empty text; a null ``doc_id`` is never
 held out and never trains; without labels (or with one class only) every score
 is the smoothed share of label 1, or 1.0 with no labels at all, so nothing is
 rejected; repeated rows score alike; an empty table gives no rows; extra columns
-are ignored, or pass through with ``keep_columns``.
+are ignored by ``quality_scores`` and pass through ``good_documents`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .arrow import map_arrow
+from .arrow import cuts, map_arrow, ship, sliced, utf8
+from .columns import Carried
+from .scratch import Scratch
 from .wordhash import batched_hashes, runs
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 48 << 20
 WORD_BITS = 15
 FACTORS = 8
 EPOCHS = 6
@@ -123,30 +127,32 @@ class FactorisationMachine:
         return self
 
 
-def _utf8(column) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
-
-
 def _held_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, mod: int, rest: int) -> DataFrame:
-    """``(doc_id, text, label)`` of at most ``limit`` labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, most_bytes: int, mod: int, rest: int) -> DataFrame:
+    """``(doc_id, text, label)`` of labelled rows outside the held-out fold, at most ``limit`` rows of at most ``most_bytes`` of text."""
+    scratch = Scratch(docs.sparkSession, "training")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(mod, rest))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(label)), "label").limit(limit)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    chosen = known.withColumn("_turn", F.xxhash64("doc_id", F.lit(label))).orderBy("_turn", "doc_id", "label").limit(limit)
+    rows = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id"), "rows")
+    # rows that share an id are one text or few; their number is not bounded by the labels
+    sizes = rows.groupBy("_turn", "doc_id", "label").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"))
+    reached = F.sum("bytes").over(Window.orderBy("_turn", "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("reached", reached).filter(F.col("reached") <= most_bytes).select("doc_id", "label")
+    return rows.select("doc_id", "text", "label").join(F.broadcast(fits), ["doc_id", "label"], "left_semi")
 
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [f.tobytes() for f in features(_utf8(batch.column("text")))]
+    for batch in sliced(batches):
+        packed = [f.tobytes() for f in features(utf8(batch.column("text")))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], names=["doc_id", "label", "packed"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
     """The fitted machine, or None without any labelled row."""
-    known = training_rows(docs, labels, "quality", TRAIN_ROWS, HOLD_MOD, HOLD_REST)
+    known = training_rows(docs, labels, "quality", TRAIN_ROWS, TRAIN_BYTES, HOLD_MOD, HOLD_REST)
     rows = map_arrow(known, _collect_features, "doc_id long, label int, packed binary").toArrow()
     if not rows.num_rows:
         return None
@@ -155,40 +161,52 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | No
     return FactorisationMachine().fit(packed, np.array(rows.column("label").to_pylist(), dtype=float))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``, after the columns of ``docs`` with ``keep_columns``."""
-    docs = docs.drop("held_out", "score", "predicted")
+def score_texts(fm: FactorisationMachine | None, texts: list[bytes]) -> list[float]:
+    """The score of each text, features made and dropped in runs of about 100,000."""
+    scores: list[float] = []
+    own: list[np.ndarray] = []
+    total = 0
+
+    def flush() -> None:
+        if own:
+            raw = fm.raw(own) if fm is not None else np.full(len(own), 30.0)
+            scores.extend((1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist())
+            own.clear()
+
+    for f in features(texts):
+        own.append(f)
+        total += len(f)
+        if total > 100_000:
+            flush()
+            total = 0
+    flush()
+    return scores
+
+
+def quality_of(docs: DataFrame, labels: DataFrame, text: Column) -> Column:
+    """The score of ``text`` by the machine fitted on ``docs`` and ``labels``; only the text goes to Python."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
-    rows = docs if keep_columns else docs.select("doc_id", "text")
-    schema = T.StructType([f for f in rows.schema.fields if keep_columns or f.name != "text"] + [T.StructField("score", T.DoubleType())])
+    ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fm = model.value
-        for batch in batches:
-            scores: list[float] = []
-            own: list[np.ndarray] = []
+        for column in columns:
+            yield pa.array([s for at, n in cuts(column) for s in score_texts(fm, utf8(column.slice(at, n)))], pa.float64())
 
-            def flush() -> None:
-                if own:
-                    raw = fm.raw(own) if fm is not None else np.full(len(own), 30.0)
-                    scores.extend((1 / (1 + np.exp(-np.clip(raw, -30, 30)))).tolist())
-                    own.clear()
+    # not deterministic for the planner: it is evaluated once, wherever the score is used
+    return F.arrow_udf(run, "double").asNondeterministic()(text.cast("string"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``."""
+    scored = docs.select("doc_id", quality_of(docs, labels, F.col("text")).alias("score"))
+    return scored.select("doc_id", _held_out(HOLD_MOD, HOLD_REST).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-            total = 0
-            for f in features(_utf8(batch.column("text"))):
-                own.append(f)
-                total += len(f)
-                if total > 100_000:
-                    flush()
-                    total = 0
-            flush()
-            columns = {c: batch.column(c) for c in schema.names[:-1]} | {"score": pa.array(scores, pa.float64())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in schema.names], names=schema.names)
 
-    scored = map_arrow(rows, run, schema)
-    scored = scored.withColumn("held_out", _held_out(HOLD_MOD, HOLD_REST)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    first = [c for c in rows.columns if keep_columns or c == "doc_id"]
-    return scored.select(*first, "held_out", "score", "predicted")
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is 0.5 or more."""
+    carried = Carried(docs)
+    return carried.df.withColumn("score", quality_of(docs, labels, carried["text"])).filter("score >= 0.5").select(*carried.restored())
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

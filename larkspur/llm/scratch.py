@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 A table written here cuts lineage and survives a lost executor.  The folder is
-``spark.checkpoint.dir`` of the session; only where that is unset (tests) does
-a folder of the driver's own stand in.
+``spark.checkpoint.dir`` of the session; only where that is unset on a local
+master (tests) does a folder of the driver's own stand in.  On any other master
+an unset folder is refused: executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="larkspur-")
     return "file://" + _own_root

@@ -11,8 +11,8 @@ correlations.  Its posterior labels train a linear classifier over hashed terms
 (words and word beginnings of four to six bytes), which scores every whole text.
 
 Voters and classifier are fitted on the driver from at most ``TRAIN_ROWS``
-labelled rows, chosen by a hash of ``doc_id`` among those whose
-``crc32(doc_id) mod 5`` is not 0.
+labelled rows of together at most ``TRAIN_BYTES`` of text, taken in the order of
+a hash of ``doc_id`` among those whose ``crc32(doc_id) mod 5`` is not 0.
 
 Defined results: null text is scored as empty text; a null ``doc_id`` is never
 held out and never trains; without labels every score is 0.0 unless a term of
@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import map_arrow
 from . import wordhash
+from .arrow import map_arrow, sliced, utf8
 from .quality import _held_out, training_rows
 from .wordhash import SLICE, mix
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_BYTES = 12_000, 48 << 20
 HOLD_MOD, HOLD_REST = 5, 0
 BEGINNINGS = (4, 5, 6)
 MINED_VOTERS = 160
@@ -256,15 +256,14 @@ def fit_toxicity(texts: list[bytes], labels: np.ndarray) -> LinearModel:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``."""
-    known = training_rows(docs, labels, "toxic", TRAIN_ROWS, HOLD_MOD, HOLD_REST).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    texts = [(x or "").encode("utf-8", "surrogatepass") for x in known.column("text").to_pylist()]
+    known = training_rows(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES, HOLD_MOD, HOLD_REST).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    texts = utf8(known.column("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(texts, np.array(known.column("label").to_pylist(), dtype=float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = model.value
-        for batch in batches:
-            own = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(linear.scores(own), pa.float64())], names=["doc_id", "score"])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(linear.scores(utf8(batch.column("text"))), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = map_arrow(rows, run, "doc_id long, score double")

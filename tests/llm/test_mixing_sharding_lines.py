@@ -58,6 +58,17 @@ def test_mix_odd_rows(odd, odd_rows, empty):
     assert mix_counts(empty).collect() == []
 
 
+def test_wordless_documents_are_not_repeated_beyond_the_cap(spark):
+    """One source is capped at two epochs and has wordless documents, which stand wherever the sample is cut."""
+    rows = [(i, "" if i % 2 else "a b c", "small") for i in range(100)] + [(1000 + i, "w " * 40 if i % 3 else None, "large") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_counts(df).collect()
+    check_mix(got)
+    assert {r.copies for r in got if r.source == "large"} <= {0, 1, 2}
+    assert {r.copies for r in got if r.source == "small"} == {2}
+    assert max(Counter(r.doc_id for r in mixed_documents(df).collect()).values()) == 2
+
+
 def test_other_settings(docs):
     rows = mix_counts(docs, share=5.0, max_epochs=2.0).collect()
     assert all(r.taken == 2 * r.size for r in rows)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from larkspur.llm import substring_dedup
 from larkspur.llm.substring_dedup import remove_repeats
@@ -40,6 +41,20 @@ def test_planted_repeats(spark):
     assert run(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 4])
+def test_colliding_hashes_change_nothing(spark, bits):
+    """k-mers of two or sixteen hashes: what decides are the words at the source coordinates."""
+    rng = random.Random(6)
+    common = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    rows = []
+    for i in range(30):
+        at = rng.randrange(60)
+        rows.append((i, " ".join([f"u{i}-{j}" for j in range(rng.randrange(50))] + common[at : at + 60] + [f"v{i}-{j}" for j in range(rng.randrange(40))])))
+    rows += [(40, rows[3][1]), (40, rows[3][1]), (41, "x y " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in remove_repeats(df, bits=bits).collect()), key=str) == brute(rows)
+
+
 def test_documents(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert run(spark, rows) == brute(rows)
@@ -63,11 +78,11 @@ def test_equal_windows_share_an_anchor():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     both = np.concatenate((words[:50], words[100:200]))
-    here = {(int(a), int(f) + i - int(f)) for a, _, f, n in zip(*substring_dedup.paths(words), strict=True) for i in range(n)}
+    here = {(int(a), int(f) + i - int(f)) for a, f, n in zip(*substring_dedup.paths(words), strict=True) for i in range(n)}
     covered = {}
-    for a, _, f, n in zip(*substring_dedup.paths(words), strict=True):
+    for a, f, n in zip(*substring_dedup.paths(words), strict=True):
         covered |= {int(f) + i: int(a) for i in range(n)}
-    for a, _, f, n in zip(*substring_dedup.paths(both), strict=True):
+    for a, f, n in zip(*substring_dedup.paths(both), strict=True):
         for p in range(int(f), int(f) + n):
             if p >= 50:
                 assert covered[p + 50] == int(a)
