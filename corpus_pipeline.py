@@ -1,38 +1,46 @@
-"""A training-corpus pipeline: five operators, each working on what the one before it kept."""
+"""A training-corpus pipeline: five operators, each working on what the one before it kept.
+
+Defined results, for every stage: a null text counts as empty, and a document
+that was empty from the start is kept unless the quality classifier rejects it;
+texts of any length are worked on whole; an empty table gives no rows; the
+columns of the input come back under their names and unchanged, whatever they
+are called, but for ``text`` where lines are cut.
+
+* quality: rows that the classifier scores below 0.5 go; repeated rows score alike.
+* line_dedup: boilerplate lines go from all places but the first; a document that
+  lost all its words goes.  Repeated rows (same id and text) lose the same lines.
+* near_dedup: one row of each near-duplicate component stays, that of the least
+  ``doc_id``; of rows that share that id, which names one document, one stays.
+  Rows without an id can't be named as copies and all stay.
+* source_mix: a document is emitted as often as the mix takes it, at most twice.
+* bpe: returns ``doc_id, source, n_tokens, ids, decoded_sha256`` for every row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.bpe import bpe_encode
-from larkspur.llm.line_dedup import remove_boilerplate
+from larkspur.llm.line_dedup import without_boilerplate
 from larkspur.llm.mixing import mixed_documents
-from larkspur.llm.near_dedup import near_duplicates
+from larkspur.llm.near_dedup import one_of_each
+from larkspur.llm.quality import good_documents
 from larkspur.llm.scratch import Scratch
 
 
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine does not reject."""
-    from larkspur.llm.quality import quality_scores
-
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(docs, labels, keep_columns=True).filter("predicted = 1").select(*docs.columns)
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without boilerplate lines; a document that lost all its words goes."""
-    cut = remove_boilerplate(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) == "")
-    return cut.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    return without_boilerplate(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
