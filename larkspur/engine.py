@@ -56,18 +56,29 @@ class Result:
         for row in self.rows():
             yield dict(zip(names, row, strict=True))
 
-    def table(self, limit: int | None = None) -> str:
-        """An ASCII table of the rows."""
+    def lines(self, limit: int | None = None) -> Iterator[str]:
+        """An ASCII table of the rows, line by line, at most a partition on the driver; one aggregation finds the widths."""
         names = self.attrs
-        body = []
-        for i, row in enumerate(self.rows()):
-            if limit is not None and i >= limit:
-                break
-            body.append(["" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in row])
-        widths = [max([len(n), *(len(r[i]) for r in body)]) for i, n in enumerate(names)]
+        shown = self.relation.df if limit is None else self.relation.df.limit(limit)
+        # floats have six places, nulls (of registered tables) are empty
+        text = lambda f: F.format_string("%.6f", f"`{f.name}`") if f.dataType.typeName() in ("float", "double") else F.col(f"`{f.name}`").cast("string")
+        cells = shown.select(*(F.when(F.col(f"`{f.name}`").isNull(), "").otherwise(text(f)).alias(f"c{i}") for i, f in enumerate(shown.schema.fields)))
+        found = cells.agg(*(F.coalesce(F.max(F.char_length(f"c{i}")), F.lit(0)) for i in range(len(names)))).first()
+        widths = [max(len(n), w) for n, w in zip(names, found, strict=True)]
         rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-        show = lambda cells: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(cells, widths, strict=True)) + "|"
-        return "\n".join([rule, show(names), rule, *map(show, body), rule])
+        show = lambda row: "|" + "|".join(f" {c.ljust(w)} " for c, w in zip(row, widths, strict=True)) + "|"
+        yield from (rule, show(names), rule)
+        yield from map(show, cells.toLocalIterator())
+        yield rule
+
+    def table(self, limit: int | None = None) -> str:
+        """``lines`` as one text, which the driver must hold."""
+        return "\n".join(self.lines(limit))
+
+    def write_table(self, path: str, limit: int | None = None) -> None:
+        """``lines`` into a file of the driver's, one at a time."""
+        with open(path, "w", encoding="utf-8") as out:
+            out.writelines(line + "\n" for line in self.lines(limit))
 
 
 class Engine:
@@ -92,10 +103,14 @@ class Engine:
     def __exit__(self, *_: object) -> None:
         self.catalog.close()
 
+    def vacuum(self) -> None:
+        """Remove what the last change superseded; results older than it can't be read any more."""
+        self.catalog.vacuum()
+
     # tables
 
     def register(self, name: str, df: DataFrame, primary: Iterable[str] = (), foreign: dict[str, tuple[str, str]] | None = None) -> None:
-        """Know ``df`` as table ``name``."""
+        """Know ``df`` as table ``name``; its keys are taken as declared, and only cascades and key checks of INSERT and UPDATE use them."""
         self.catalog.register(name, df, primary, {k: t.AttrName(*v) for k, v in (foreign or {}).items()})
 
     def register_parquet(self, folder: str, *names: str) -> "Engine":
@@ -107,6 +122,10 @@ class Engine:
         """Insert a DataFrame's rows, all or none."""
         return modify.insert_frame(self.catalog, table, rows)
 
+    def insert_all(self, frames: dict[str, DataFrame]) -> dict[str, int]:
+        """Insert the rows of several tables, parents first, as one change."""
+        return modify.insert_frames(self.catalog, frames)
+
     # statements
 
     def execute(self, text: str) -> Result:
@@ -213,7 +232,15 @@ class Engine:
         if result.kind != "query":
             return iter(())
         # bare names, repeated where tables share them: a procedure takes the first that fits
-        return result.relation.df.toDF(*(a.name for a in result.relation.attrs)).toLocalIterator()
+        return self._held(result.relation.df.toDF(*(a.name for a in result.relation.attrs)))
+
+    def _held(self, df: DataFrame) -> Iterator[Row]:
+        """Rows of which no part is removed while they are being read, whatever the loop changes."""
+        self.catalog.readers += 1
+        try:
+            yield from df.toLocalIterator()
+        finally:
+            self.catalog.readers -= 1
 
     def create_workload(self, name: str, size: int) -> int:
         """Table ``name(i, s, t)`` of ``size`` rows ``(k, 'k', 'k')`` with an index on ``s``; 0 on success."""

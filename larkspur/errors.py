@@ -17,5 +17,9 @@ class ConstraintError(EngineError):
     """A primary or foreign key would be violated; nothing was changed."""
 
 
+class ConflictError(EngineError):
+    """Another engine has changed the stored catalog; nothing of this change is kept."""
+
+
 class ProcedureError(EngineError):
     """A stored procedure could not be compiled or run."""

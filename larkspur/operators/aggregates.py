@@ -33,10 +33,12 @@ def _number(column: Column, attr: Attr) -> Column:
 
 
 def aggregate(relation: Relation, function: str, attr: str | int | None = None, out: str = "value") -> DataFrame:
-    """One row with the aggregate: of an empty input COUNT, MIN and MAX are INT 0, the others 0.0.
+    """One row with the aggregate; of an empty input it is 0 in the column's own domain.
 
-    AVG is a FLOAT (accumulated in double precision), VAR the population
-    variance; SUM of a STRING attribute adds the lengths in bytes.
+    MIN and MAX of a STRING or BYTES attribute are NULL then, as such a column
+    can't hold the INT 0 that a procedure call returns for them.  AVG is a FLOAT
+    (accumulated in double precision), VAR the population variance; SUM of a
+    STRING attribute adds the lengths in bytes.
     """
     function = function.upper()
     if function == "COUNT":
@@ -46,7 +48,10 @@ def aggregate(relation: Relation, function: str, attr: str | int | None = None,
     if found.domain == OTHER:
         raise SemanticError(f"{found.key} has no domain to aggregate over")
     if function in ("MIN", "MAX"):
-        return relation.df.agg((F.min if function == "MIN" else F.max)(column).alias(out))
+        least = (F.min if function == "MIN" else F.max)(column)
+        if found.domain in NUMERIC:
+            least = F.coalesce(least, F.lit(0).cast(relation.df.schema[found.phys].dataType))
+        return relation.df.agg(least.alias(out))
     if function == "AVG":
         return relation.df.agg(F.coalesce(F.avg(_number(column, found)), F.lit(0.0)).cast("float").alias(out))
     if function == "SUM":

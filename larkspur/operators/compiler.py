@@ -107,7 +107,7 @@ class Compiler:
             keys.append(column.asc() if key.ascending else column.desc())
         used = {source.find(k.attr).phys for k in node.keys}
         ties = [F.col(f"`{a.phys}`").asc() for a in source.attrs if a.phys not in used and a.domain != OTHER]
-        # a known key makes rows distinct already and saves the shuffle that would tell
+        # a key that every row was checked for makes rows distinct already and saves the shuffle that would tell
         rows = source.df if source.keys else source.df.dropDuplicates()
         return replace(source, df=rows.orderBy(*keys, *ties), keys=source.keys or (frozenset(a.phys for a in source.attrs),))
 

@@ -30,7 +30,7 @@ class Attr:
 class Relation:
     df: DataFrame
     attrs: tuple[Attr, ...]
-    #: Sets of physical columns that no two rows agree on; known from primary keys.
+    #: Sets of physical columns that no two rows agree on; known from primary keys that the engine enforced.
     keys: tuple[frozenset[str], ...] = ()
 
     def find(self, name: AttrName) -> Attr:
@@ -57,7 +57,7 @@ class Relation:
         return self.df.select(*columns)
 
 
-def scan(df: DataFrame, table: str, attrs: list[tuple[str, str, int | None]], primary: tuple[str, ...] = ()) -> Relation:
-    """A base table under physical names of its own, so that later joins never clash."""
+def scan(df: DataFrame, table: str, attrs: list[tuple[str, str, int | None]], primary: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> Relation:
+    """A base table under physical names of its own, so that later joins never clash; columns ``more`` are kept aside."""
     known = tuple(Attr(table, name, domain, size, f"{table}.{name}") for name, domain, size in attrs)
-    return Relation(df.select(*(F.col(f"`{a.name}`").alias(a.phys) for a in known)), known, tuple(frozenset([f"{table}.{name}"]) for name in primary))
+    return Relation(df.select(*(F.col(f"`{a.name}`").alias(a.phys) for a in known), *more), known, tuple(frozenset([f"{table}.{name}"]) for name in primary))

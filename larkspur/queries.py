@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import surface
 from .engine import Engine
 from .plans import tree as t
 
@@ -31,7 +32,7 @@ STATEMENTS: dict[str, tuple[str, str, str]] = {
     "union_distinct_by_sort": ("orders", "SORT (UNION (PROJECT orders OVER orders.o_custkey), (PROJECT (SELECT FROM orders WHERE orders.o_totalprice < 50000.0) OVER orders.o_custkey)) BY orders.o_custkey;", "SELECT o_custkey FROM orders UNION SELECT o_custkey FROM orders"),
     "join_equi": ("orders customer", "JOIN orders, customer ON orders.o_custkey = customer.c_custkey;", "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey"),
     "join_nested": ("lineitem orders customer", "PROJECT (JOIN (JOIN lineitem, orders ON lineitem.l_orderkey = orders.o_orderkey), customer ON orders.o_custkey = customer.c_custkey) OVER customer.c_name, orders.o_orderkey, lineitem.l_linenumber;", "SELECT c_name, o_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"),
-    "join_string": ("customer orders nation", "PROJECT (JOIN customer, nation ON customer.c_nationkey = nation.n_nationkey) OVER nation.n_name, customer.c_name;", "SELECT n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "join_string": ("lineitem orders", "PROJECT (JOIN (SORT (PROJECT lineitem OVER lineitem.l_linestatus) BY lineitem.l_linestatus), orders ON lineitem.l_linestatus = orders.o_orderstatus) OVER lineitem.l_linestatus, orders.o_orderkey;", "SELECT l_linestatus, o_orderkey FROM (SELECT DISTINCT l_linestatus FROM lineitem) JOIN orders ON l_linestatus = o_orderstatus"),
     "join_theta": ("nation region", "JOIN nation, region ON nation.n_regionkey < region.r_regionkey;", "SELECT * FROM nation JOIN region ON n_regionkey < r_regionkey"),
     "join_theta_ge": ("nation region", "JOIN nation, region ON nation.n_regionkey >= region.r_regionkey;", "SELECT * FROM nation JOIN region ON n_regionkey >= r_regionkey"),
     "join_not_equal": ("nation region", "JOIN nation, region ON nation.n_regionkey != region.r_regionkey;", "SELECT * FROM nation JOIN region ON n_regionkey <> r_regionkey"),
@@ -50,6 +51,9 @@ _AGGREGATES = {
     "agg_sum": ("SUM", "SELECT FROM part", "p_size", "SELECT sum(p_size)::BIGINT AS value FROM part"),
     "agg_sum_of_lengths": ("SUM", "SELECT FROM documents", "text", "SELECT sum(octet_length(encode(text)))::BIGINT AS value FROM documents"),
     "agg_var": ("VAR", "SELECT FROM nation", "n_regionkey", "SELECT var_pop(n_regionkey) AS value FROM nation"),
+    "agg_min_empty": ("MIN", "SELECT FROM part WHERE part.p_size < 0", "p_size", "SELECT coalesce(min(p_size), 0) AS value FROM part WHERE p_size < 0"),
+    "agg_max_empty": ("MAX", "SELECT FROM orders WHERE orders.o_totalprice < 0.0", "o_totalprice", "SELECT coalesce(max(o_totalprice), 0) AS value FROM orders WHERE o_totalprice < 0"),
+    "agg_avg_empty": ("AVG", "SELECT FROM part WHERE part.p_size < 0", "p_size", "SELECT coalesce(avg(p_size), 0)::FLOAT AS value FROM part WHERE p_size < 0"),
     "agg_empty": ("COUNT", "SELECT FROM nation WHERE nation.n_name = ''", None, "SELECT count(*) AS value FROM nation WHERE n_name = ''"),
 }
 
@@ -217,6 +221,7 @@ QUERIES: dict[str, Query] = (
     {name: _statement(tables, text) for name, (tables, text, _) in STATEMENTS.items()}
     | {name: _aggregate(f, q, a) for name, (f, q, a, _) in _AGGREGATES.items()}
     | {name: query for name, (query, _) in _MORE.items()}
+    | surface.QUERIES
 )
 
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in STATEMENTS.items()} | {name: x[3] for name, x in _AGGREGATES.items()} | {name: sql for name, (_, sql) in _MORE.items() if sql is not None}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in STATEMENTS.items()} | {name: x[3] for name, x in _AGGREGATES.items()} | {name: sql for name, (_, sql) in _MORE.items() if sql is not None} | surface.ORACLE_SQL

@@ -5,17 +5,19 @@ id (0 where absent), for an attribute ``A_y`` its value and, if optional,
 ``A_y_P`` telling whether it was there, and ``data`` for character data.  A
 repeated child has a table ``E_x__to__E_y(id, E_x, E_y)`` whose id keeps document
 order.  Documents are shredded where they lie, one row in and many rows out, and
-rebuilt with one query for each step and table, never one for each element.
+rebuilt where their rows lie, with joins and one aggregation for each repeated
+child.  Loading is one change over all tables: all documents go in, or none.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..engine import Engine
 from ..errors import SemanticError
@@ -130,18 +132,23 @@ def load(engine: Engine, dtd: DTD, documents: DataFrame) -> dict[str, int]:
                     rows.append([(k, str(v)) for k, v in row.items()])
             yield pa.RecordBatch.from_arrays([pa.array(tables, pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["t", "r"])
 
-    shredded = documents.select(F.col("doc_no").cast("long").alias("doc_no"), "xml").mapInArrow(run, "t string, r map<string,string>").persist()
+    catalog = engine.catalog
+    path = f"{catalog.root}/_shredded/{uuid.uuid4().hex}"
     try:
-        counts = {}
-        names = [row[0] for row in shredded.select("t").distinct().collect()]
+        # one file set for each table; what is parsed once is read from the shared folder
+        shredded = documents.select(F.col("doc_no").cast("long").alias("doc_no"), "xml").mapInArrow(run, "t string, r map<string,string>")
+        shredded.write.partitionBy("t").parquet(path)
+        written = engine.spark.read.schema("r map<string,string>, t string").parquet(path)
+        # at most one name for each table of the mapping
+        names = [row[0] for row in written.select("t").distinct().collect()]
+        frames = {}
         # link tables refer to element tables, which therefore come first
         for table in sorted(names, key=lambda n: ("__to__" in n, n)):
-            stored = engine.catalog.table(table)
-            columns = [F.element_at("r", F.lit(a.name)).alias(a.name) for a in stored.attrs]
-            counts[table] = engine.insert_rows(table, shredded.filter(F.col("t") == table).select(*columns))
-        return counts
+            columns = [F.element_at("r", F.lit(a.name)).alias(a.name) for a in catalog.table(table).attrs]
+            frames[table] = written.filter(F.col("t") == table).select(*columns)
+        return engine.insert_all(frames)
     finally:
-        shredded.unpersist()
+        catalog.remove(path)
 
 
 def load_text(engine: Engine, dtd: DTD, text: str, doc_no: int = 0) -> dict[str, int]:
@@ -190,51 +197,58 @@ def path_query(dtd: DTD, path: str):
     return t.Sort(query, tuple(keys)), steps[-1][0]
 
 
-def find(engine: Engine, dtd: DTD, path: str) -> list[ET.Element]:
-    """The elements at ``path``, rebuilt whole, in document order."""
+def rebuilt(engine: Engine, dtd: DTD, path: str) -> DataFrame:
+    """``(at, id, xml)``: the text of every element at ``path``, rebuilt whole; ``at`` orders them as in the documents."""
     query, name = path_query(dtd, path)
     relation = engine.compile(query)
-    key = f"`{element_table(name)}.id`"
-    ids = [row[0] for row in relation.df.select(F.col(key)).toLocalIterator()]
-    built = _rebuild(engine, dtd, name, set(ids))
-    return [built[i] for i in ids]
+    keys = F.struct(*(F.col(f"`{k.attr.rel}.{k.attr.name}`") for k in query.keys))
+    met = relation.df.select(keys.alias("at"), F.col(f"`{element_table(name)}.id`").alias("id"))
+    texts = _texts(engine, dtd, name, met.select("id").distinct(), ())
+    return met.join(texts, "id").select("at", "id", "xml")
 
 
-def _rows(engine: Engine, table: str, column: str, ids: set[int]) -> list:
-    wanted = engine.spark.createDataFrame([(i,) for i in sorted(ids)], f"`_want` long")
-    frame = engine.catalog.frame(engine.catalog.table(table))
-    return frame.join(wanted, frame[column] == wanted["_want"], "left_semi").orderBy("id").collect() if ids else []
+def _escaped(column: Column, attribute: bool = False) -> Column:
+    """Character data as XML; the ampersand comes first."""
+    marks = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")] + [('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;")] * attribute
+    for mark, name in marks:
+        column = F.replace(column, F.lit(mark), F.lit(name))
+    return column
 
 
-def _rebuild(engine: Engine, dtd: DTD, name: str, ids: set[int]) -> dict[int, ET.Element]:
-    """Elements by id; one query for each table on the way down, whatever their number."""
+def _texts(engine: Engine, dtd: DTD, name: str, wanted: DataFrame, above: tuple[str, ...]) -> DataFrame:
+    """``(id, xml)`` of the elements ``name`` whose ids are ``wanted``."""
+    if name in above:
+        raise SemanticError(f"{name} contains itself; such elements are rebuilt one level at a time")
     e = dtd.elements[name]
     table = element_table(name)
-    rows = _rows(engine, table, "id", ids)
-    kids: dict[str, dict[int, ET.Element]] = {}
-    links: dict[str, dict[int, list[int]]] = {}
-    for child, q in e.children.items():
+    frame = lambda n: engine.catalog.frame(engine.catalog.table(n))
+    rows = frame(table).join(wanted, "id", "left_semi")
+    inside = [_escaped(F.col("data"))] if e.data else []
+    for i, (child, q) in enumerate(e.children.items()):
+        kid = element_table(child)
         if q == MANY:
-            found = _rows(engine, link_table(name, child), table, ids)
-            links[child] = {}
-            for row in found:
-                links[child].setdefault(row[table], []).append(row[element_table(child)])
-            wanted = {row[element_table(child)] for row in found}
+            link = link_table(name, child)
+            links = frame(link).select(F.col("id").alias("nth"), F.col(f"`{table}`").alias("id"), F.col(f"`{kid}`").alias("kid")).join(wanted, "id", "left_semi")
+            texts = _texts(engine, dtd, child, links.select(F.col("kid").alias("id")).distinct(), (*above, name))
+            found = links.join(texts.select(F.col("id").alias("kid"), "xml"), "kid").groupBy("id")
+            found = found.agg(F.array_sort(F.collect_list(F.struct("nth", "xml"))).alias("xs")).select("id", F.array_join("xs.xml", "").alias(f"kid{i}"))
+            rows = rows.join(found, "id", "left")
         else:
-            wanted = {row[element_table(child)] for row in rows} - {0}
-        kids[child] = _rebuild(engine, dtd, child, wanted) if wanted else {}
-    out = {}
-    for row in rows:
-        node = out[row["id"]] = ET.Element(name)
-        for a in e.attributes.values():
-            if a.required or row[f"A_{a.name}_P"]:
-                node.set(a.name, row[f"A_{a.name}"])
-        if e.data:
-            node.text = row["data"]
-        for child, q in e.children.items():
-            own = links[child].get(row["id"], []) if q == MANY else [row[element_table(child)]]
-            node.extend(kids[child][i] for i in own if i in kids[child])
-    return out
+            texts = _texts(engine, dtd, child, rows.select(F.col(f"`{kid}`").alias("id")).filter("id <> 0").distinct(), (*above, name))
+            rows = rows.join(texts.select(F.col("id").alias(kid), F.col("xml").alias(f"kid{i}")), kid, "left")
+        inside.append(F.coalesce(F.col(f"kid{i}"), F.lit("")))
+    opening = [F.lit(f"<{name}")]
+    for a in e.attributes.values():
+        value = F.concat(F.lit(f' {a.name}="'), _escaped(F.col(f"`A_{a.name}`"), True), F.lit('"'))
+        opening.append(value if a.required else F.when(F.col(f"`A_{a.name}_P`") != 0, value).otherwise(""))
+    body = F.concat(F.lit(""), *inside)
+    text = F.concat(*opening, F.when(body == "", " />").otherwise(F.concat(F.lit(">"), body, F.lit(f"</{name}>"))))
+    return rows.select("id", text.alias("xml"))
+
+
+def find(engine: Engine, dtd: DTD, path: str) -> list[ET.Element]:
+    """The elements at ``path``, rebuilt whole, in document order, on the driver; ``rebuilt`` leaves them where they are."""
+    return [ET.fromstring(row["xml"]) for row in rebuilt(engine, dtd, path).orderBy("at").toLocalIterator()]
 
 
 def to_text(elements: list[ET.Element]) -> str:
