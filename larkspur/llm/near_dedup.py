@@ -5,21 +5,26 @@ sets collapse to one representative first, so exact copies never meet in pairs.
 Representatives then descend ``TREES`` independent trees: at a node every
 document is branched by two selected coordinates of its MinHash signature, each
 child holding the documents that agree on that minwise token.  A node of at most
-``LEAF`` documents is a leaf.  A larger one branches again, unless branching
-can't part it (one child keeps half of it: a family of copies) or ``MAX_DEPTH``
-is reached; such nodes become leaves too, compared as pairs of blocks of
-``LEAF``.  A pair at similarity 0.75 misses all ten root children with
-probability 1e-6, and each further level keeps it with probability 0.94.
-
-Leaves are compared exhaustively, in two rounds that never write out all pairs.
-First, 128-bit sketches give each leaf a minimum spanning forest over the pairs
-that may be similar enough; its edges are confirmed on full shingle sets and
-joined to components.  Then, in leaves that still hold several components, 256 minwise tokens tell
-which documents may have a link across components (not more than 4.5 standard
-deviations below the threshold), and these are compared on full sets, block by
-block.  Pairs inside a component need no comparison, and of several links to one
-component one is enough, so no link between components is lost and what is
-written stays linear.  Components come from a distributed star contraction.
+``LEAF`` documents is a leaf; a larger one branches again, at most ``MAX_DEPTH``
+times.  A child that keeps half of a larger node is a leaf of any size (a family
+of copies, which no token can part), while its siblings branch on.  A pair at
+similarity 0.75 misses all ten root children with probability 1e-6, and each
+further level keeps it with probability 0.94.
+
+Leaves are compared in two rounds.  First, 128-bit sketches give each leaf a
+minimum spanning forest over the pairs that may be similar enough; a leaf larger
+than ``LEAF`` gets one for each block of it, and stars around ``PIVOTS`` members,
+so what is written stays linear in its size.  These edges are confirmed on full
+shingle sets and joined to components.  Then, in leaves that still hold several
+components, every member outside a leaf's largest component meets all others:
+256 minwise tokens tell which may have a link across components (not more than
+4.5 standard deviations below the threshold), and these are compared on full
+sets, block by block.  Pairs inside a component need no comparison, and of
+several links to one component one is enough, so no link between components is
+lost.  The second round costs (members) x (members outside the largest
+component) / ``LEAF`` rows: linear for a family of copies, and quadratic only in
+a large leaf whose members share most tokens and yet are no copies of one
+another.  Components come from a distributed star contraction.
 
 Defined results: null or empty text has no shingles, links with nothing and is
 its own component; a null ``doc_id`` takes no part, its component is null and
@@ -48,6 +53,7 @@ THRESHOLD = 75
 COORDINATES, LONG_COORDINATES = 64, 256
 TREES, BRANCHES = 5, 2
 LEAF = 512
+PIVOTS = 8
 MAX_DEPTH = 8
 #: Of 128 sketch bits, 16 differ on average at the threshold; five and a half standard deviations more may.
 SKETCH_DISTANCE = 41
@@ -223,15 +229,12 @@ def leaves(sigs: DataFrame, scratch: Scratch) -> DataFrame:
         first, gap = f"pmod(xxhash64(node, {depth}), {free})", f"1 + pmod(xxhash64(node, {depth}, 1), {free - 1})"
         picked = F.expr(f"array(CAST({first} AS INT), CAST(pmod({first} + {gap}, {free}) AS INT))")
         children = big.join(sigs.select("id", "signature"), "id").withColumn("c", F.explode(picked)).withColumn("c", F.col("c") + TREES * BRANCHES)
-        children = children.select("id", F.col("node").alias("parent"), F.col("size").alias("whole"), F.expr("xxhash64(node, c, signature[c])").alias("node"))
-        children = scratch.table(children, f"children-{depth}")
-        sizes = children.groupBy("node", "parent", "whole").agg(F.count(F.lit(1)).alias("size"))
-        stuck = sizes.groupBy("parent").agg(F.max(F.col("size") * 2 >= F.col("whole")).alias("stuck"), F.first("whole").alias("n"))
-        stuck = scratch.table(stuck.filter("stuck").select(F.col("parent").alias("node"), "n"), f"stuck-{depth}")
-        out.append(salted_join(big, stuck, "node", ["id"], "left_semi"))
-        sizes = sizes.filter("size > 1").join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
-        sizes = scratch.table(sizes, f"sizes-{depth + 1}")
-        grown = scratch.table(salted_join(children.select("node", "id"), sizes, "node", ["id"], rows="size"), f"nodes-{depth + 1}")
+        children = scratch.table(children.select("id", F.col("size").alias("whole"), F.expr("xxhash64(node, c, signature[c])").alias("node")), f"children-{depth}")
+        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.first("whole").alias("whole")).filter("size > 1")
+        sizes = scratch.table(sizes.select("node", "size", ((F.col("size") > LEAF) & (F.col("size") * 2 >= F.col("whole"))).alias("family")), f"sizes-{depth + 1}")
+        placed = scratch.table(salted_join(children.select("node", "id"), sizes, "node", ["id"], rows="size"), f"nodes-{depth + 1}")
+        out.append(placed.filter("family"))
+        grown = placed.filter("NOT family").drop("family")
     return _union([*out, grown])
 
 
@@ -243,19 +246,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, *columns: str) -> DataFrame:
-    """``(node, b, ms)``: each leaf's members, a large leaf's as all pairs of its ``blocks``."""
-    rows = members.withColumn("_own", F.pmod(F.xxhash64("id", "node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("b", F.explode(F.expr("transform(sequence(0, blocks - 1), o -> CAST(least(o, _own) AS BIGINT) * blocks + greatest(o, _own))")))
-    return rows.groupBy("node", "b").agg(F.collect_list(F.struct(*columns)).alias("ms")).filter("size(ms) > 1")
+    """``(node, b, ms)``: each leaf's members by block, met by each of the leaf's chunks of ``minor`` members.
+
+    ``members`` tells each leaf's number of ``blocks`` and ``chunks``.
+    """
+    rows = members.withColumn("_own", F.pmod(F.xxhash64("id", "node"), F.col("blocks"))).withColumn("_chunk", F.pmod(F.xxhash64("node", "id"), F.col("chunks")))
+    every = "array_union(transform(sequence(0, chunks - 1), c -> _own * chunks + c), if(minor, transform(sequence(0, blocks - 1), o -> o * chunks + _chunk), array()))"
+    return rows.withColumn("b", F.explode(F.expr(every))).groupBy("node", "b").agg(F.collect_list(F.struct(*columns)).alias("ms")).filter("size(ms) > 1")
+
+
+def _with_blocks(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``members(node, id, label, n_shingles, …)`` of the leaves that hold several labels, with what ``_in_blocks`` needs."""
+    labels = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("volume"))
+    nodes = labels.groupBy("node").agg(F.sum("n").alias("n"), F.sum("volume").alias("volume"), F.max(F.struct("n", "label", "volume")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    parts = lambda n, volume: F.greatest(F.lit(1), F.ceil(n / LEAF), F.ceil(volume / VOLUME)).cast("int")
+    blocks = parts(F.col("n"), F.col("volume")).alias("blocks")
+    chunks = parts(F.col("n") - F.col("major.n"), F.col("volume") - F.col("major.volume")).alias("chunks")
+    nodes = scratch.table(nodes.filter("labels > 1").select("node", "n", F.col("major.label").alias("major"), blocks, chunks), name)
+    return salted_join(members, nodes, "node", ["id"]).withColumn("minor", F.col("label") != F.col("major")).drop("n", "major")
+
+
+def _stars(marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: members ``v`` of large leaves and those of their leaf's pivots ``u`` that sketches and sizes allow as links."""
+    me = F.struct("id", "n_shingles", "sketch1", "sketch2")
+    pivots = marks.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.min(F.struct(F.xxhash64(F.lit(j), "id").alias("h"), me.alias("p"))) for j in range(PIVOTS))).alias("ps"))
+    pivots = scratch.table(pivots.select("node", "n", F.array_distinct("ps.p").alias("ps")), "pivots")
+    met = salted_join(marks, pivots, "node", ["id"])
+    near = f"p.id <> id AND bit_count(p.sketch1 ^ sketch1) + bit_count(p.sketch2 ^ sketch2) <= {SKETCH_DISTANCE} AND least(p.n_shingles, n_shingles) * 100L >= {THRESHOLD}L * greatest(p.n_shingles, n_shingles)"
+    return met.select(F.explode(F.expr(f"filter(ps, p -> {near})")).alias("p"), F.col("id").alias("v")).select(F.col("p.id").alias("u"), "v")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(u, v)`` whose full shingle sets are similar enough."""
     # the side that recurs is met first, while rows are still two numbers wide
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
+    often = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
+    left = salted_join(pairs, scratch.table(often, f"{name}-left"), "u", ["v"]).drop("n")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
     shared = both.select("u", "v", F.size(F.array_intersect("su", "sv")).cast("long").alias("shared"), (F.size("su") + F.size("sv")).cast("long").alias("total"))
-    return scratch.table(shared.filter(f"100 * shared >= {THRESHOLD} * (total - shared)").select("u", "v"), name)
+    return scratch.table(shared.filter(f"100 * shared >= {THRESHOLD} * (total - shared)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), name)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -279,11 +307,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch.drop("signed")
 
     leaf = scratch.table(leaves(sigs, scratch), "leaves")
-    leaf = leaf.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).drop("size")
     marks = leaf.join(sigs.select("id", "n_shingles", "sketch1", "sketch2"), "id")
-    edges = map_arrow(_in_blocks(marks, "id", "n_shingles", "sketch1", "sketch2"), _emit_forest, "u long, v long")
+    blocks = marks.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")).withColumn("chunks", F.lit(1)).withColumn("minor", F.lit(False))
+    edges = map_arrow(_in_blocks(blocks, "id", "n_shingles", "sketch1", "sketch2"), _emit_forest, "u long, v long")
+    large = leaf.filter(F.col("size") > LEAF)
+    if not large.isEmpty():
+        edges = edges.union(_stars(marks.filter(F.col("size") > LEAF).drop("size"), scratch))
     edges = scratch.table(edges.distinct(), "forest")
-    active = scratch.table(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "active")
+    # a member of a large leaf may have its only link in another block
+    active = edges.select(F.explode(F.array("u", "v")).alias("id")).union(large.select("id")).distinct()
+    active = scratch.table(active, "active")
     wanted = active.withColumnRenamed("id", "doc_id")
     if active.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -293,16 +326,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links, scratch, "first")
     # what is left: pairs across components, in leaves that hold several
     named = active.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    near = scratch.table(leaf.join(named, "id"), "near")
-    mixed = near.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    mixed = scratch.table(mixed.select("node", "n"), "mixed")
-    near = salted_join(near, mixed, "node", ["id"], "left_semi").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
-    near = scratch.table(near, "near-sets")
-    found = map_arrow(_in_blocks(near, "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
+    near = leaf.select("node", "id").join(named, "id").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
+    near = scratch.table(near, "near")
+    found = map_arrow(_in_blocks(_with_blocks(near, scratch, "mixed"), "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
     found = scratch.table(found.distinct().join(near.select("node", "id", "label", "n_shingles"), ["node", "id"]), "involved")
-    volume = F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("n_shingles") / VOLUME)).cast("int")
-    blocks = scratch.table(found.groupBy("node").agg(volume.alias("blocks"), F.count(F.lit(1)).alias("n")), "blocks")
-    found = salted_join(found, blocks, "node", ["id"]).join(sets.select("id", "shingles"), "id")
+    found = _with_blocks(found, scratch, "blocks").join(sets.select("id", "shingles"), "id")
     pairs = map_arrow(_in_blocks(found, "id", "label", "shingles"), _emit_across, "u long, v long")
     links = links.union(scratch.table(pairs.distinct(), "links-2"))
     labels = components(links, scratch, "final")

@@ -56,6 +56,28 @@ def test_families_of_copies_and_common_passages(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_a_large_family_stays_linear(spark, monkeypatch):
+    """One family of near copies in many leaves' worth of rows: what the leaves compare grows with it, not with its square."""
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    compared = []
+    whole = near_dedup._in_blocks
+
+    def counting(members, *columns):
+        grouped = whole(members, *columns)
+        compared.append(grouped.selectExpr("coalesce(sum(size(ms)), 0)").first()[0])
+        return grouped
+
+    monkeypatch.setattr(near_dedup, "_in_blocks", counting)
+    rng = random.Random(3)
+    base = " ".join(f"v{rng.randrange(5000)}" for _ in range(120))
+    n = 3000
+    rows = [(i, edited(rng, base, 0.004)) for i in range(n)] + [(n + i, " ".join(f"u{rng.randrange(9000)}" for _ in range(60))) for i in range(300)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == 0 for i in range(n)) > 0.99 * n and all(got[i] == i for i in range(n, n + 300))
+    distinct = len({t for _, t in rows})
+    assert distinct > n / 3 and sum(compared) < 40 * 10 * distinct / 4
+
+
 def test_odd_rows(odd, odd_rows):
     got = near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
