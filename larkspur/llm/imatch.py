@@ -12,9 +12,12 @@ subsets that a partial edit leaves alone.  Likeness of two fingerprints is the
 share of equal parts among those parts that at least one of them has.
 
 The neighbour in descending ``doc_id`` comes from one range shuffle: rows are
-dealt to buckets by quantiles of ``doc_id`` (at most ``MAX_BUCKETS`` numbers on
-the driver), a window reads the next row in the bucket, and each bucket's first
-row is also sent to the bucket before it.  Everything is DataFrame expressions.
+dealt by quantiles of ``doc_id`` to buckets of about ``BUCKET_BYTES`` of text
+(at most ``MAX_BUCKETS`` numbers on the driver), a window reads the next row in
+the bucket, and each bucket's first row is also sent to the bucket before it.  An
+id that fills a bucket by itself, as the null id may, has its rows dealt on to
+``SUB_BUCKETS`` ranges of the text hash that orders them.  Everything is
+DataFrame expressions.
 
 Defined results: null text counts as empty; a document without lexicon terms is
 fingerprinted by all its terms; equal texts have equal fingerprints; two texts
@@ -34,7 +37,7 @@ SLOTS = 1 << SLOT_BITS
 LOW, HIGH = 0.0005, 0.05
 #: (first bit, bits, subsets): a subset holds the terms whose field has one value.
 FIELDS = ((20, 1, 2), (18, 2, 4), (0, 4, 8), (4, 6, 8), (10, 8, 8))
-ROWS_PER_BUCKET, MAX_BUCKETS = 2000, 4096
+ROWS_PER_BUCKET, BUCKET_BYTES, MAX_BUCKETS, SUB_BUCKETS = 2000, 16 << 20, 1 << 15, 64
 
 
 def _terms(text: str) -> Column:
@@ -53,15 +56,15 @@ def lexicon(texts: DataFrame, scratch: Scratch, low: float = LOW, high: float =
 
 
 def fingerprint(df: DataFrame, text: str, bits: Column, out: str) -> DataFrame:
-    """``df`` with ``out array<int>``, null where a subset holds none of the text's terms."""
+    """``df`` with ``out array<long>``, null where a subset holds none of the text's terms."""
     df = df.withColumn("_all", F.sort_array(_terms(text))).withColumn("_bits", bits)
     inside = "filter(_all, t -> getbit(element_at(_bits, CAST(shiftrightunsigned(t, 50) AS INT) + 1), CAST(shiftrightunsigned(t, 44) & 63 AS INT)) = 1)"
     df = df.withColumn("_in", F.expr(inside))
-    parts = ["hash(if(size(_in) > 0, _in, _all))"]
+    parts = ["xxhash64(if(size(_in) > 0, _in, _all))"]
     for first, bits_wide, subsets in FIELDS:
         for value in range(subsets):
             chosen = f"filter(_in, t -> (t & {((1 << bits_wide) - 1) << first}L) = {value << first}L)"
-            parts.append(f"transform(array({chosen}), x -> if(size(x) > 0, hash(x), NULL))[0]")
+            parts.append(f"transform(array({chosen}), x -> if(size(x) > 0, xxhash64(x), NULL))[0]")
     return df.withColumn(out, F.expr(f"array({', '.join(parts)})")).drop("_all", "_bits", "_in")
 
 
@@ -74,27 +77,38 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _hex(fp: str) -> Column:
-    return F.expr(f"array_join(transform({fp}, x -> if(x IS NULL, '-', lpad(hex(x & 4294967295L), 8, '0'))), '.')")
+    return F.expr(f"array_join(transform({fp}, x -> if(x IS NULL, '-', lpad(hex(x), 16, '0'))), '.')")
 
 
 def with_next(rows: DataFrame, carried: list[str], scratch: Scratch) -> DataFrame:
     """``rows`` with ``next_<c>`` of the row after it in descending ``doc_id``, the first after the last."""
-    n = rows.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts)) if buckets > 1 else []
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(1, min(MAX_BUCKETS, max(-(-facts["n"] // ROWS_PER_BUCKET), -(-(facts["bytes"] or 0) // BUCKET_BYTES))))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets).alias("c")).first()["c"] or []
+    # an id that two neighbouring quantiles fall on fills a bucket, and gets one of its own
+    full = sorted({x for x, y in zip(cuts, cuts[1:], strict=False) if x == y})
+    cuts = sorted({*cuts, *(x + 1 for x in full)}) if buckets > 1 else []
     step, found = 1 << len(cuts).bit_length(), F.lit(0)
     if cuts:
         bounds = F.lit(cuts)
         steps = F.array(*(F.lit(step >> i) for i in range(step.bit_length())))
         found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) <= F.col("doc_id"), at + s).otherwise(at))
-    rows = rows.withColumn("_b", F.when(F.col("doc_id").isNull(), -1).otherwise(found))
-    # at most MAX_BUCKETS + 1 rows: the first id of each bucket, and the bucket whose last row it follows
-    heads = rows.groupBy("_b").agg(F.max("doc_id").alias("_head"))
-    order = Window.orderBy(F.col("_b").desc())
-    after = F.coalesce(F.lag("_b").over(order), F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * 0 + F.last("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = F.broadcast(scratch.table(heads.withColumn("_to", after).select(F.col("_b").alias("_hb"), "_head", "_to"), "heads"))
-    placed = rows.join(heads, (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    alone = F.col("doc_id").isNull()
+    if full:
+        alone = alone | F.array_contains(F.lit(full), F.col("doc_id"))
+    place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - found)
+    # ranges of the hash, of 2**64 values from the least on
+    sub = F.when(alone, F.shiftright("text_hash", 64 - SUB_BUCKETS.bit_length() + 1) + SUB_BUCKETS // 2).otherwise(F.lit(0))
+    rows = rows.withColumn("_b", (place.cast("long") * SUB_BUCKETS + sub).cast("long"))
+    # at most MAX_BUCKETS + SUB_BUCKETS * (full ids + 1) rows: the first row of each bucket, and the bucket before it
+    order = (F.col("doc_id").isNull(), -F.col("doc_id"), F.col("text_hash"))
+    heads = rows.groupBy("_b").agg(F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))).alias("_head"))
+    w = Window.orderBy("_b")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("_to", F.coalesce(F.lag("_b").over(w), F.last("_b").over(every)))
+    heads = F.broadcast(scratch.table(heads.select(F.col("_b").alias("_hb"), (-F.col("_head.o1")).alias("_id"), F.col("_head.o2").alias("_hash"), "_to"), "heads"))
+    first = (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    placed = rows.join(heads, first, "left")
     own, lent = F.struct(F.col("_b").alias("b"), F.lit(0).alias("lent")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("lent"))
     placed = placed.withColumn("_p", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, lent))))
     placed = placed.select(*rows.columns, F.col("_p.b").alias("_bucket"), F.col("_p.lent").alias("_lent")).drop("_b")

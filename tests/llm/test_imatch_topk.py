@@ -37,6 +37,20 @@ def test_documents(docs, monkeypatch, bucket):
     assert np.mean([r.near_edited for r in got]) > 0.02 + np.mean([r.near_next for r in got])
 
 
+def test_ids_that_fill_buckets(spark, monkeypatch):
+    """A third of the rows without an id and a third under one id: their order is that of the text hash."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(imatch, "ROWS_PER_BUCKET", 20)
+    rows = [(None, f"n{i} x") for i in range(120)] + [(50, f"m{i} y") for i in range(120)] + [(i, f"o{i} z") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = df.withColumn("text_hash", F.xxhash64("text")).collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text_hash))
+    after = {(r.doc_id, r.text): order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+    got = fingerprints(df).collect()
+    assert sorted(r.edited for r in got) == sorted(t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), n in after.items())
+
+
 def test_fingerprint_against_plain_python(spark, docs):
     """The lexicon band and the subset rule, recomputed from Spark's own term hashes."""
     from pyspark.sql import functions as F
