@@ -4,9 +4,10 @@ Components become ``floor(64 * x)``.  Vectors are range-partitioned by falling
 norm and packed into blocks of at most ``BLOCK``; an orthonormal rotation (the
 singular vectors of at most ``SAMPLE`` rows) puts most of the length into the
 first coordinates.  Every query block first meets the block of longest vectors,
-which gives each query a k-th best score to beat.  A (query block, candidate
-block) pair is opened only if some query of the one could still beat its k-th
-score by norm alone.  Inside a pair, candidates are taken by falling length in
+which gives each query a k-th best score to beat.  Queries are then packed by
+the vector length that they still need for that, so one weak query does not open
+blocks for strong ones.  A (query block, candidate block) pair is opened only if
+some query of the one could still beat its k-th score by norm alone.  Inside a pair, candidates are taken by falling length in
 steps: partial sums over the first coordinates plus the Cauchy-Schwarz product
 of the residual norms bound every score, survivors are scored exactly in
 integers, and the k-th scores rise from step to step.  A last window merges each
@@ -16,7 +17,7 @@ and only prune what is strictly below the k-th score, so ties are never lost.
 Defined results: vectors that are null or hold null or non-finite components,
 and rows without ``vec_id``, take no part; vectors of unequal length are compared
 as if padded with zeros; ties go to the smaller ``vec_id``; rows that share
-``vec_id`` are one query (repeats of it) and candidates each; an empty table, or
+``vec_id`` are one query (that of the least vector) and candidates each; an empty table, or
 one without queries, gives no rows; extra columns are ignored.  Scores are exact
 while they fit in 53 bits.
 """
@@ -140,26 +141,45 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     parts = max(1, -(-facts["n"] // BLOCK))
     by_norm = rows.repartitionByRange(parts, F.col("norm").desc(), "vec_id").sortWithinPartitions(F.col("norm").desc(), "vec_id")
     blocks = scratch.table(map_arrow(by_norm.select("vec_id", "v"), _packer(width, BLOCK), _PACKED), "blocks")
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    asked = asked.repartition(max(1, -(-facts["n"] // (every * QUERIES))), "vec_id")
-    queries = scratch.table(map_arrow(asked.select("vec_id", "v"), _packer(width, QUERIES), _PACKED), "queries")
+    # of rows that share an id, the least vector asks
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     # one block of the longest vectors: BLOCK rows at most
     first = blocks.orderBy(F.col("top").desc(), "block").limit(1).collect()[0]
     shared = spark.sparkContext.broadcast((bytes(first["ids"]), bytes(first["vectors"]), first["n"], rotation))
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, cvecs = _unpack(*shared.value[:3])
-        for batch in batches:
-            for b, n, ids, vecs in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "ids", "vectors")), strict=True):
-                qids, q = _unpack(ids, vecs, n)
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(at, QUERIES)
+                qids = batch.column("vec_id").to_numpy()
+                q = np.array([v + [0] * (width - len(v)) for v in batch.column("v").to_pylist()], dtype=np.int64).reshape(-1, width)
                 best = Best(qids, k)
                 search_block(best, q, cids, cvecs, shared.value[3])
                 length = np.sqrt((q.astype(float) ** 2).sum(axis=1))
-                need = np.where((best.floor > 0) & (length > 0), best.floor / np.maximum(length, 1e-300), 0.0)
-                need[~np.isfinite(best.floor) | (best.floor <= 0)] = 0.0
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([n], pa.int32()), pa.array([ids], pa.binary()), pa.array([vecs], pa.binary()), pa.array([best.floor.astype("<f8").tobytes()], pa.binary()), pa.array([float(need.min()) * (1 - 1e-9)])], names=["qblock", "qn", "qids", "qvectors", "floor", "need"])
+                known = np.isfinite(best.floor) & (best.floor > 0) & (length > 0)
+                need = np.where(known, np.where(known, best.floor, 0.0) / np.maximum(length, 1e-300), 0.0) * (1 - 1e-9)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(best.floor), pa.array(need)], names=["vec_id", "v", "floor", "need"])
+
+    asked = scratch.table(map_arrow(asked.select("vec_id", "v"), floors, "vec_id long, v array<long>, floor double, need double"), "asked")
+    by_need = asked.repartitionByRange(max(1, -(-facts["n"] // (every * QUERIES))), F.col("need").desc(), "vec_id").sortWithinPartitions(F.col("need").desc(), "vec_id")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    ready = scratch.table(map_arrow(queries.select("block", "n", "ids", "vectors"), floors, "qblock long, qn int, qids binary, qvectors binary, floor binary, need double"), "ready")
+        made = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(at, QUERIES)
+                q = np.array([v + [0] * (width - len(v)) for v in batch.column("v").to_pylist()], dtype="<i8").reshape(-1, width)
+                name, made = (TaskContext.get().partitionId() << 32) + made, made + 1
+                floor, need = (batch.column(c).to_numpy() for c in ("floor", "need"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([len(q)], pa.int32()), *(pa.array([x], pa.binary()) for x in (batch.column("vec_id").to_numpy().astype("<i8").tobytes(), q.tobytes(), floor.astype("<f8").tobytes())), pa.array([float(need.min())])],
+                    names=["qblock", "qn", "qids", "qvectors", "floor", "need"],
+                )
+
+    ready = scratch.table(map_arrow(by_need, pack, "qblock long, qn int, qids binary, qvectors binary, floor binary, need double"), "ready")
     # block names and two numbers each; payloads join by name afterwards
     pairs = ready.select("qblock", "need").join(blocks.select("block", "top"), F.col("top") >= F.col("need")).select("qblock", "block")
     opened = pairs.join(ready, "qblock").join(blocks, "block").select("qn", "qids", "qvectors", "floor", "n", "ids", "vectors")

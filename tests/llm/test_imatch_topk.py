@@ -140,3 +140,38 @@ def test_bounds_prune(spark):
         s = v @ q[i]
         s[i] = np.iinfo(np.int64).min
         assert best.scores[i].tolist() == sorted(s.tolist(), reverse=True)[:20]
+
+
+def test_strong_queries_open_few_blocks(spark, monkeypatch):
+    """Long vectors decide most queries: blocks of short ones are opened for the few queries that point elsewhere."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(topk_ip, "BLOCK", 64)
+    monkeypatch.setattr(topk_ip, "QUERIES", 16)
+    long = np.abs(rng.normal(size=(64, 8))) * 20
+    short = rng.normal(size=(2500, 8)) * 0.5
+    short[::20] = np.abs(short[::20])
+    short[40] = -np.abs(short[40])
+    every = np.concatenate((short, long))
+    rows = [(i, v.tolist()) for i, v in enumerate(every)]
+    opened = []
+    real = topk_ip.map_arrow
+
+    def counting(df, run, schema):
+        if "qvectors" in df.columns:
+            opened.append(df.count())
+        return real(df, run, schema)
+
+    monkeypatch.setattr(topk_ip, "map_arrow", counting)
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    grid = np.floor(64 * every).astype(np.int64)
+    scores = grid @ grid.T
+    want = {(q, rank, int(i), int(scores[q, i])) for q in range(0, len(every), 20) for rank, i in enumerate(sorted((i for i in range(len(every)) if i != q), key=lambda i: (-scores[q, i], i))[:20], 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    queries, blocks = -(-len(every) // 20) // 16 + 1, -(-len(every) // 64)
+    assert opened[0] < queries * blocks / 3
+
+
+def test_an_id_with_two_vectors_asks_with_the_least(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 8192), (1, 0)]
