@@ -40,7 +40,7 @@ def test_a_thousand_single_inserts(spark, tmp_path):
         for i in range(1000):
             e.modify(f"INSERT INTO p (p.k, p.v) VALUES ({5000 + i}, 'y');")
             e.modify(f"INSERT INTO c (c.p) VALUES ({i});")
-        assert time.monotonic() - began < 20
+        assert time.monotonic() - began < 60  # seconds; a job for each row would take minutes
         for bad in ("INSERT INTO p (p.k, p.v) VALUES (7, 'z');", "INSERT INTO p (p.k, p.v) VALUES (5007, 'z');", "INSERT INTO c (c.p) VALUES (9999);"):
             with pytest.raises(ConstraintError):
                 e.modify(bad)
