@@ -1,8 +1,11 @@
 import random
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
+import duckdb
 import numpy as np
+import pytest
 
 from larkspur.llm import near_dedup
 from larkspur.llm.near_dedup import near_duplicates
@@ -101,3 +104,33 @@ def test_signatures_estimate_similarity():
     b = np.unique(np.concatenate((a[:3500], rng.integers(0, 1 << 63, 500).astype(np.uint64))))
     same = (near_dedup.signature(a, 256) == near_dedup.signature(b, 256)).mean()
     assert abs(same - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.12
+
+
+LARGER = Path("/root/testdata/sf0.1/documents.parquet")
+
+
+@pytest.mark.skipif(not LARGER.exists(), reason="needs the larger table")
+def test_no_link_of_the_larger_table_is_lost(spark):
+    got = near_duplicates(spark.read.parquet(str(LARGER)).select("doc_id", "text")).toPandas().set_index("doc_id").component_id.to_dict()
+    with duckdb.connect() as c:
+        words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+        c.execute(f"CREATE TABLE d AS SELECT doc_id, {words} AS ws FROM '{LARGER}'")
+        c.execute("CREATE TABLE s AS SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)")
+        c.execute("CREATE TABLE n AS SELECT doc_id, count(*) AS n, sum(g) AS h FROM s GROUP BY doc_id")
+        c.execute("CREATE TABLE r AS SELECT min(doc_id) AS doc_id, n, h FROM n GROUP BY n, h")
+        c.execute("CREATE TABLE o AS SELECT s.* FROM s JOIN r USING (doc_id)")
+        shared = "SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM o a JOIN o b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL"
+        links = c.execute(f"SELECT u, v FROM ({shared}) JOIN r x ON u = x.doc_id JOIN r y ON v = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)").fetchall()
+        copies = c.execute("SELECT r.doc_id, n.doc_id FROM n JOIN r USING (n, h) WHERE n.doc_id <> r.doc_id").fetchall()
+    parent = {i: i for i in got}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in links + copies:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert len(links) > 100
+    assert got == {i: find(i) for i in got}
