@@ -7,8 +7,8 @@ term of it.  The lexicon is the slots whose frequency share lies within
 terms / LOW) slots can reach it, and as one bit a slot it is ``SLOTS / 8`` bytes
 at any corpus size.  A document keeps its lexicon terms, distinct and sorted,
 and hashes them whole and within randomised subsets of the lexicon of a half,
-a quarter, 1/16, 1/64 and 1/256, so that short and long documents alike have
-subsets that a partial edit leaves alone.  Likeness of two fingerprints is the
+a quarter, 1/16, 1/64 and 1/256, most of them small, so that short and long
+documents alike have subsets that a partial edit leaves alone.  Likeness of two fingerprints is the
 share of equal parts among those parts that at least one of them has.
 
 The neighbour in descending ``doc_id`` comes from one range shuffle: rows are
@@ -36,7 +36,7 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 LOW, HIGH = 0.0005, 0.05
 #: (first bit, bits, subsets): a subset holds the terms whose field has one value.
-FIELDS = ((20, 1, 2), (18, 2, 4), (0, 4, 8), (4, 6, 8), (10, 8, 8))
+FIELDS = ((20, 1, 2), (18, 2, 4), (0, 4, 8), (4, 6, 24), (10, 8, 32))
 ROWS_PER_BUCKET, BUCKET_BYTES, MAX_BUCKETS, SUB_BUCKETS = 2000, 16 << 20, 1 << 15, 64
 
 
@@ -62,10 +62,13 @@ def fingerprint(df: DataFrame, text: str, bits: Column, out: str) -> DataFrame:
     df = df.withColumn("_in", F.expr(inside))
     parts = ["xxhash64(if(size(_in) > 0, _in, _all))"]
     for first, bits_wide, subsets in FIELDS:
+        # the terms that any subset of this field holds, so that each subset looks at few
+        field, some = f"(t & {((1 << bits_wide) - 1) << first}L)", f"_in_{first}"
+        df = df.withColumn(some, F.expr(f"filter(_in, t -> {field} < {subsets << first}L)"))
         for value in range(subsets):
-            chosen = f"filter(_in, t -> (t & {((1 << bits_wide) - 1) << first}L) = {value << first}L)"
+            chosen = f"filter({some}, t -> {field} = {value << first}L)"
             parts.append(f"transform(array({chosen}), x -> if(size(x) > 0, xxhash64(x), NULL))[0]")
-    return df.withColumn(out, F.expr(f"array({', '.join(parts)})")).drop("_all", "_bits", "_in")
+    return df.withColumn(out, F.expr(f"array({', '.join(parts)})")).drop("_all", "_bits", "_in", *(f"_in_{first}" for first, _, _ in FIELDS))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -8,9 +8,11 @@ on its own weight alone, so when weights grow, rows move only into the subtrees
 whose weight grew.  A shard that opens a region of its own (the 41st of 40 in
 regions of ten) therefore takes rows only into itself.
 
-Slots count from 0 inside each shard without sorting a shard in one task: rows
-are numbered within (shard, bucket) and buckets are laid end to end from their
-counts, a table of at most ``shards * BUCKETS`` rows.
+Slots count from 0 inside each shard without sorting a shard, or the rows of one
+id, in one task: rows equal in every returned column become one row with a count,
+in chunks of at most ``CHUNK``; these are dealt by range to partitions of about
+equal size, numbered within (shard, partition), and the partitions of a shard are
+laid end to end from their sums, a table of a row for each partition and shard.
 
 Defined results: the key is ``doc_id``; a null ``doc_id`` is placed by its text;
 null text has no bytes and the CRC of the empty string; repeated rows share a
@@ -26,6 +28,7 @@ from .scratch import Scratch
 
 SHARDS, PER_RACK, RACKS = 40, 5, 2
 BUCKETS = 256
+CHUNK = 1024
 
 
 def _uniform(*parts: str) -> str:
@@ -58,17 +61,24 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text))).alias("_key"))
+    rows = rows.groupBy("doc_id", "_key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_all"))
+    rows = rows.withColumn("_chunk", F.explode(F.expr(f"sequence(0, CAST((_all - 1) DIV {CHUNK} AS INT))")))
+    rows = rows.withColumn("_n", F.expr(f"CAST(least(_all - CAST(_chunk AS LONG) * {CHUNK}, {CHUNK}) AS INT)")).drop("_all")
     rows = place(place(rows, "_key", shards, "shard"), "_key", shards + 1, "grown_shard")
     rows = rows.withColumn("_bucket", F.expr(f"CAST(conv(substring(md5(concat('bucket/', _key)), 1, 4), 16, 10) AS INT) % {BUCKETS}"))
-    rows = scratch.table(rows, "placed")
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    if shards * BUCKETS <= 1 << 20:
+    placed = scratch.table(rows, "placed")
+    order = ("_bucket", "_key", "text_crc32", "size", "_chunk")
+    ranged = scratch.table(placed.repartitionByRange("shard", *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    scratch.drop("placed")
+    counts = ranged.groupBy("shard", "_range").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    if shards + int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= 1 << 20:
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy("shard", "_bucket").orderBy("_key", "text_crc32", "size")
-    out = rows.withColumn("_at", F.row_number().over(within)).join(offsets, ["shard", "_bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_offset") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard")
+    within = Window.partitionBy("shard", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["shard", "_range"])
+    out = out.withColumn("_i", F.explode(F.expr("sequence(0, _n - 1)")))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_offset") + F.col("_at") + F.col("_i")).cast("long").alias("slot"), "grown_shard")
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from larkspur.llm import line_dedup
+from larkspur.llm import line_dedup, sharding
 from larkspur.llm.line_dedup import remove_boilerplate
 from larkspur.llm.mixing import mix_counts, mixed_documents
 from larkspur.llm.sharding import shard_rows
@@ -100,6 +100,20 @@ def test_growth_inside_a_region_stays_in_its_subtree(spark):
     assert all(r.shard == r.grown_shard or r.grown_shard >= 10 for r in rows)
 
 
+def test_shards_of_hot_ids_and_equal_rows(spark, monkeypatch):
+    """A third of the rows under one id, a third equal in everything: slots stay gapless, no row is lost."""
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = [(5, f"text {i}") for i in range(400)] + [(6, "same")] * 400 + [(i, "x") for i in range(100, 500)] + [(None, "same")] * 50
+    rows = [*rows, *((None, f"t{i}") for i in range(50))]
+    got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t) + 16, zlib.crc32(t.encode())) for i, t in rows)
+    assert all(len({r.shard for r in got if r.doc_id == i}) == 1 for i in (5, 6))
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shard_odd_rows(odd, odd_rows, empty):
     rows = shard_rows(odd).collect()
     assert len(rows) == len(odd_rows) and len({(r.shard, r.slot) for r in rows}) == len(rows)

@@ -1,10 +1,12 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from larkspur.llm.quality import FACTORS, FactorisationMachine, N_FEATURES, N_STATS, features, quality_scores
-from larkspur.llm.toxicity import fit_label_model, fit_toxicity, patterns, terms, toxicity_scores
+from larkspur.llm.quality import BINS, FACTORS, FactorisationMachine, N_FEATURES, N_STATS, WORD_BITS, features, quality_scores, structure
+from larkspur.llm.toxicity import BEGINNINGS, fit_label_model, fit_toxicity, patterns, terms, toxicity_scores
+from larkspur.llm.wordhash import word_hashes
 
 BIG = "/root/testdata/sf0.1"
 
@@ -83,3 +85,53 @@ def test_lexicon_alone_and_mined_words():
     model = fit_toxicity(texts, np.array([0.0] * 60 + [1.0] * 20))
     assert (model.scores([b"a zorgish one", b"plain text"]) > 0.5).tolist() == [True, False]
     assert (fit_toxicity([], np.zeros(0)).scores([b"what an Idiot!", b"nothing", b""]) > 0.5).tolist() == [True, False, False]
+
+
+def training(docs, labels, name, mod, rest):
+    """Texts and labels of the rows that may train, in the order of the fits."""
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = sorted((r.doc_id, r[name]) for r in labels.collect() if r.doc_id in text and r[name] in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % mod != rest)
+    return text, [text[i] for i, _ in rows], np.array([y for _, y in rows], dtype=float)
+
+
+def test_toxicity_of_every_row_is_recomputed_word_by_word(spark, docs, labels):
+    text, texts, y = training(docs, labels, "toxic", 5, 0)
+    model = fit_toxicity(texts, y)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    known = {}
+
+    def hashes(word):
+        if word not in known:
+            ((_, h),) = terms([word])
+            assert len(h) == 1 + sum(len(word) > n for n in BEGINNINGS)
+            known[word] = set(h.tolist())
+        return known[word]
+
+    got = {r.doc_id: r.score for r in toxicity_scores(docs, labels).collect()}
+    assert got.keys() == text.keys()
+    for doc, raw in text.items():
+        found = set().union(*(hashes(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)))
+        logit = model.bias + sum(weight.get(h, 0.0) for h in found)
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(logit, -40, 40))), abs=1e-9)
+
+
+def test_quality_of_every_row_is_recomputed_pair_by_pair(spark, docs, labels):
+    text, texts, y = training(docs, labels, "quality", 3, 1)
+
+    def naive(raw):
+        h = np.array([word_hashes(w, lower=True)[0] for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)], dtype=np.uint64)
+        stats = structure(raw, h)
+        bins = [0 if s <= 0 else 1 + min(int(np.sqrt(min(s, 1)) * BINS), BINS - 1) for s in stats]
+        return np.array([(1 << WORD_BITS) + i * (BINS + 1) + b for i, b in enumerate(bins)] + [int(x) >> (64 - WORD_BITS) for x in h], dtype=np.int64)
+
+    fm = FactorisationMachine().fit([naive(t) for t in texts], y)
+    got = {r.doc_id: r.score for r in quality_scores(docs, labels).collect()}
+    assert got.keys() == text.keys()
+    for doc, raw in text.items():
+        f = naive(raw)
+        x = np.concatenate((np.ones(N_STATS), np.full(len(f) - N_STATS, 1 / np.sqrt(max(len(f) - N_STATS, 1)))))
+        v = fm.v[f] * x[:, None]
+        # every pair, a block of rows against all after it
+        pairs = sum(float(np.triu(v[at : at + 512] @ v.T, at + 1).sum()) for at in range(0, len(f), 512))
+        raw_score = fm.bias + float((fm.w[f] * x).sum()) + pairs
+        assert got[doc] == pytest.approx(1 / (1 + np.exp(-np.clip(raw_score, -30, 30))), abs=1e-6)
