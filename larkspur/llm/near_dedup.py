@@ -15,16 +15,27 @@ Leaves are compared in two rounds.  First, 128-bit sketches give each leaf a
 minimum spanning forest over the pairs that may be similar enough; a leaf larger
 than ``LEAF`` gets one for each block of it, and stars around ``PIVOTS`` members,
 so what is written stays linear in its size.  These edges are confirmed on full
-shingle sets and joined to components.  Then, in leaves that still hold several
-components, every member outside a leaf's largest component meets all others:
-256 minwise tokens tell which may have a link across components (not more than
-4.5 standard deviations below the threshold), and these are compared on full
-sets, block by block.  Pairs inside a component need no comparison, and of
-several links to one component one is enough, so no link between components is
-lost.  The second round costs (members) x (members outside the largest
-component) / ``LEAF`` rows: linear for a family of copies, and quadratic only in
-a large leaf whose members share most tokens and yet are no copies of one
-another.  Components come from a distributed star contraction.
+shingle sets and joined to components.
+
+Large leaves that still hold several components then become families: those of
+the same largest component are one.  A shingle that more than ``COMMON`` members
+of a family hold is common.  Two members share at most the lesser number of their
+common shingles and the rare ones that both hold, so pairs across components that
+share a rare shingle and may reach the threshold so are listed and confirmed
+(at most ``COMMON`` / 2 for each rare shingle of a member), as are pairs with the
+``PIVOTS`` members nearest to what is common.  Members whose common shingles
+alone cannot make a link with any size found in the family need no more.
+
+Last, in the small leaves and among the remaining members of families, every
+member outside the largest component meets all others: 256 minwise tokens tell
+which may have a link across components (not more than 4.5 standard deviations
+below the threshold), and these are compared on full sets, block by block.  Pairs
+inside a component need no comparison, and of several links to one component one
+is enough, so no link between components is lost.  In a family this costs
+(remaining members) x (those outside the largest component) / ``LEAF`` rows,
+which is quadratic where many members hold hardly more than common shingles and
+yet are linked with none of the nearest.  Components come from a distributed star
+contraction.
 
 Defined results: null or empty text has no shingles, links with nothing and is
 its own component; a null ``doc_id`` takes no part, its component is null and
@@ -61,6 +72,8 @@ SKETCH_DISTANCE = 41
 LONG_AGREE = 161
 #: Shingles of a block whose full sets are compared, about (8 bytes each).
 VOLUME = 500_000
+#: A shingle that more members of a family hold is common to it; others are rare, and pairs that share one are listed.
+COMMON = 32
 #: Ids of documents whose sets are needed are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -276,6 +289,59 @@ def _stars(marks: DataFrame, scratch: Scratch) -> DataFrame:
     return met.select(F.explode(F.expr(f"filter(ps, p -> {near})")).alias("p"), F.col("id").alias("v")).select(F.col("p.id").alias("u"), "v")
 
 
+def _kin(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, id, n_shingles, label, common, rare)``: the members of large leaves that hold several labels, by family.
+
+    Leaves of the same largest component are one family, which holds every pair
+    of theirs.  ``common`` is the number of a member's shingles that more than
+    ``COMMON`` of the family hold, ``rare`` are those that fewer share.
+    """
+    labels = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    majors = labels.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    majors = scratch.table(majors.filter("labels > 1").select("node", "n", F.xxhash64("major.label").alias("family")), "majors")
+    kin = salted_join(members, majors, "node", ["id"]).select(F.col("family").alias("node"), "id", "n_shingles", "label")
+    kin = scratch.table(kin.distinct(), "kin-members")
+    each = kin.join(sets.select("id", "shingles"), "id").select("node", "id", F.explode("shingles").alias("shingle"))
+    held = scratch.table(each.groupBy("node", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "held")
+    told = salted_join(each, held, ["node", "shingle"], ["id"]).groupBy("node", "id")
+    told = told.agg(F.count_if(F.col("n") > COMMON).alias("common"), F.collect_list(F.when(F.col("n") <= COMMON, F.col("shingle"))).alias("rare"))
+    return scratch.table(kin.join(told, ["node", "id"], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long"))), "kin")
+
+
+def _enough(mine: str, its: str, rare: str = "0") -> str:
+    """Whether as many ``rare`` shingles and the lesser ``common`` of two members can make a link."""
+    return f"({rare} + least({mine}.common, {its}.common)) * {100 + THRESHOLD}L >= {THRESHOLD}L * ({mine}.n_shingles + {its}.n_shingles)"
+
+
+def _kin_pairs(kin: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: pairs across labels that share rare shingles, and those of each member and the ``PIVOTS`` nearest to what is common."""
+    me = F.struct("id", "label", "n_shingles", "common")
+    posted = kin.select("node", me.alias("a"), F.explode("rare").alias("shingle"))
+    both = posted.join(posted.withColumnRenamed("a", "b"), ["node", "shingle"]).filter("a.id < b.id AND a.label <> b.label")
+    both = both.groupBy("node", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(_enough("a", "b", "n"))
+    # nearest: the least symmetric difference
+    near = F.struct((F.col("common") * 2 - F.col("n_shingles")).alias("near"), F.col("id"), me.alias("p"))
+    pivots = kin.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *(F.max(F.when(F.pmod(F.xxhash64("id"), F.lit(PIVOTS)) == j, near)).alias(f"p{j}") for j in range(PIVOTS)))
+    pivots = scratch.table(pivots.select("node", "n", F.array_compact(F.array(*(f"p{j}.p" for j in range(PIVOTS)))).alias("ps")), "centres")
+    met = salted_join(kin.select("node", "id", me.alias("a")), pivots, "node", ["id"])
+    met = met.select("a", F.explode(F.expr(f"filter(ps, p -> p.label <> a.label AND {_enough('a', 'p')})")).alias("b"))
+    return scratch.table(both.select("a", "b").union(met).select(F.col("b.id").alias("u"), F.col("a.id").alias("v")).distinct(), "kin-pairs")
+
+
+def _inliers(kin: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, id, n_shingles)``: members that may have a link without a rare shingle in it.
+
+    The lesser ``common`` of two members bounds what they share then, so a
+    member's own tells how large another may be; a family's members are summed up
+    by size, a fiftieth of a power of e each.
+    """
+    room = f"{100 + THRESHOLD}L * common - {THRESHOLD}L * n_shingles"  # THRESHOLD times the size of the largest
+    steps = kin.groupBy("node", F.floor(F.log("n_shingles") * 50).alias("step")).agg(F.min("n_shingles").alias("least"), F.max(F.expr(room)).alias("room"), F.count(F.lit(1)).alias("n"))
+    steps = scratch.table(steps.groupBy("node").agg(F.sum("n").alias("n"), F.collect_list(F.struct("least", "room")).alias("steps")), "steps")
+    may = f"exists(steps, s -> {room} >= {THRESHOLD}L * s.least AND s.room >= {THRESHOLD}L * n_shingles)"
+    return salted_join(kin.select("node", "id", "n_shingles", "common"), steps, "node", ["id"]).filter(may).select("node", "id", "n_shingles")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs ``(u, v)`` whose full shingle sets are similar enough."""
     # the side that recurs is met first, while rows are still two numbers wide
@@ -326,8 +392,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links, scratch, "first")
     # what is left: pairs across components, in leaves that hold several
     named = active.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    near = leaf.select("node", "id").join(named, "id").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
+    near = leaf.join(named, "id").join(sets.select("id", F.size("shingles").alias("n_shingles"), "tokens"), "id")
     near = scratch.table(near, "near")
+    if not large.isEmpty():
+        kin = _kin(near.filter(F.col("size") > LEAF).select("node", "id", "n_shingles", "label"), sets, scratch)
+        links = links.union(_confirm(_kin_pairs(kin, scratch), sets, scratch, "links-kin"))
+        labels = components(links, scratch, "kin")
+        left = near.filter(F.col("size") <= LEAF).select("node", "id", "n_shingles", "tokens")
+        left = left.union(_inliers(kin, scratch).join(sets.select("id", "tokens"), "id").select("node", "id", "n_shingles", "tokens"))
+        near = scratch.table(left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "near-kin")
+    near = near.select("node", "id", "n_shingles", "tokens", "label")
     found = map_arrow(_in_blocks(_with_blocks(near, scratch, "mixed"), "id", "n_shingles", "label", "tokens"), _emit_involved, "node long, id long")
     found = scratch.table(found.distinct().join(near.select("node", "id", "label", "n_shingles"), ["node", "id"]), "involved")
     found = _with_blocks(found, scratch, "blocks").join(sets.select("id", "shingles"), "id")

@@ -81,6 +81,27 @@ def test_a_large_family_stays_linear(spark, monkeypatch):
     assert distinct > n / 3 and sum(compared) < 40 * 10 * distinct / 4
 
 
+def test_a_family_that_fades_out_stays_linear(spark, monkeypatch):
+    """Copies of one page with few to many edits: those too far from all others meet no more than their likes."""
+    monkeypatch.setattr(near_dedup, "LEAF", 64)
+    made = []
+    whole = near_dedup._in_blocks
+
+    def counting(members, *columns):
+        made.append(members.selectExpr("coalesce(sum(chunks + if(minor, blocks - 1, 0)), 0)").first()[0])
+        return whole(members, *columns)
+
+    monkeypatch.setattr(near_dedup, "_in_blocks", counting)
+    rng = random.Random(4)
+    base = " ".join(f"v{rng.randrange(5000)}" for _ in range(120))
+    rows = [(i, edited(rng, base, rng.uniform(0, 0.12))) for i in range(1200)]
+    # links that only rare shingles show: far from the page, near one another
+    rows += [(1200 + 3 * i + j, edited(rng, far, 0.01)) for i, far in enumerate(edited(rng, base, 0.15) for _ in range(20)) for j in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert len(set(got.values())) > 200 and sum(made[1:]) < 10 * len(rows)
+
+
 def test_odd_rows(odd, odd_rows):
     got = near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
