@@ -1,7 +1,7 @@
 """Queries to relations: every node becomes one lazy DataFrame operation.
 
 Nothing runs here.  Strategy is Catalyst's: filters reach the scan, joins are
-picked by size, and the duplicates a SORT removes are hash-aggregated before the
+picked by size (but see ``_dealt``), and the duplicates a SORT removes are hash-aggregated before the
 range exchange that orders the rows.
 """
 
@@ -21,6 +21,11 @@ from ..plans import tree as t
 from .predicates import alternatives, condition
 from .relation import Relation
 
+#: A join on an equality and a comparison gets a task for so much of the product of its inputs' estimated bytes; Spark's
+#: estimate where it knows nothing is above the second.
+_PRODUCT_BYTES, _KNOWN_BYTES = 1 << 34, 1 << 62
+_DEAL = "larkspur:deal"
+
 
 class Compiler:
     """``resolve(node)`` supplies base tables and views.
@@ -83,10 +88,13 @@ class Compiler:
                 return Relation(left.df.crossJoin(right.df), attrs, keys)
             on = reduce(operator.and_, (left.df[f"`{a.phys}`"] == right.df[f"`{b.phys}`"] for a, b in pairs))
             return Relation(left.df.join(right.df, on, "inner"), attrs, keys)
+        left, right = _dealt(left, right, node.on)
         both = _Sides(left, right)
-        if self.or_mode == "bag":
-            return Relation(reduce(lambda a, b: a.unionAll(b), (left.df.join(right.df, c, "inner") for c in alternatives(both, node.on))), attrs)
-        return Relation(left.df.join(right.df, condition(both, node.on), "inner"), attrs, keys)
+        conditions = alternatives(both, node.on) if self.or_mode == "bag" else [condition(both, node.on)]
+        if _DEAL in left.df.columns:
+            conditions = [c & (left.df[_DEAL] == right.df[_DEAL]) for c in conditions]
+        df = reduce(lambda a, b: a.unionAll(b), (left.df.join(right.df, c, "inner").drop(_DEAL) for c in conditions))
+        return Relation(df, attrs, () if self.or_mode == "bag" else keys)
 
     def _union(self, node: t.Union) -> Relation:
         left, right = self.compile(node.left), self.compile(node.right)
@@ -112,6 +120,41 @@ class Compiler:
         return replace(source, df=rows.orderBy(*keys, *ties), keys=source.keys or (frozenset(a.phys for a in source.attrs),))
 
 
+def _dealt(left: Relation, right: Relation, on: Any) -> tuple[Relation, Relation]:
+    """Where few keys may make far more pairs than there are rows: the larger input dealt to shares of each key, the smaller one once for each share.
+
+    Spark sizes the tasks of a join by what they read and gives no key to two of them, or leaves the tasks to the larger
+    input's files.  The copies of the smaller input are together no larger than the other one.
+    """
+    across = [x for x in _conjuncts(on) if isinstance(x, t.Compare) and isinstance(x.right, t.AttrName)]
+    equal = {name for x in across if x.op == "=" for name in (x.left, x.right)}
+    if not equal or all(x.op == "=" for x in across) or left.df.isStreaming or right.df.isStreaming:
+        return left, right
+    sizes = {side: int(side.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for side in (left, right)}
+    small, large = sorted((left, right), key=sizes.get)
+    tasks = min(sizes[small] * sizes[large] // _PRODUCT_BYTES, 8 * large.df.sparkSession.sparkContext.defaultParallelism)
+    shares = min(tasks, sizes[large] // max(1, sizes[small]))
+    # the estimate for a join is the bare product of its inputs
+    if shares < 2 or sizes[large] > _KNOWN_BYTES or any(len({a.rel for a in side.attrs}) > 1 for side in (left, right)):
+        return left, right
+    row = F.xxhash64(*(F.col(f"`{a.phys}`") for a in large.attrs if a.domain != OTHER))
+    share = {large: F.pmod(row, F.lit(shares)), small: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")))}
+
+    def dealt(side: Relation) -> Relation:
+        by = [F.col(f"`{a.phys}`") for a in side.attrs if a.key in equal]
+        # a number of tasks that is asked for is not reduced by what they read
+        return side.with_df(side.df.withColumn(_DEAL, share[side]).repartition(tasks, *by, _DEAL).hint("merge"))
+
+    return dealt(left), dealt(right)
+
+
+def _conjuncts(node: Any) -> list[Any]:
+    """What must hold together: comparisons, and other predicates as they are."""
+    if isinstance(node, t.Bool) and node.op == "AND":
+        return _conjuncts(node.left) + _conjuncts(node.right)
+    return [node]
+
+
 class _Sides(Relation):
     """Both inputs of a join as one scope for its predicate."""
 

@@ -1,9 +1,11 @@
 """Statements end to end: tables with keys, cascades, views, joins, sorts, aggregates."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.engine import Engine, bind
 from larkspur.errors import ConstraintError, ParseError, SemanticError
+from larkspur.operators import compiler
 from larkspur.plans import tree as t
 from larkspur.script import AssertionFailed, Script
 
@@ -238,3 +240,42 @@ def test_keys_save_the_shuffle_of_a_sort(staff):
     assert "Aggregate" in plan("SORT (UNION staff, staff) BY staff.note;")
     assert "Aggregate" in plan("SORT (JOIN staff, pay) BY pay.age;")
     assert len(rows(staff, "SORT (UNION staff, staff) BY staff.note;")) == 4
+
+
+SPREAD = "JOIN many, few ON many.k = few.k AND many.v < few.v;"
+
+
+def test_pairs_of_one_key_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(compiler, "_PRODUCT_BYTES", 1 << 26, raising=False)
+    many = spark.range(0, 100_000, 1, 1).selectExpr("id AS i", "pmod(id, 1L) AS k", "pmod(id * 7919, 100000L) AS v")
+    few = spark.range(0, 100, 1, 1).selectExpr("id AS j", "pmod(id, 1L) AS k", "10 * id AS v")
+    for text in (SPREAD, "JOIN few, many ON few.v > many.v AND few.k = many.k;"):
+        e = Engine(spark)
+        e.register("many", many)
+        e.register("few", few)
+        got = e.query(text)
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == sum(10 * j for j in range(100)) == got.select("i", "j").distinct().count()
+        assert len(parts) >= 6 and max(parts) < 0.5 * sum(parts)
+
+
+@pytest.mark.parametrize("mode", ("set", "bag"))
+def test_dealt_joins_keep_rows(spark, mode, monkeypatch):
+    monkeypatch.setattr(compiler, "_PRODUCT_BYTES", 1)
+    # every row twice, keys that one side lacks
+    many = [(i % 7, i * 37 % 101, f"m{i % 5}") for i in range(300)] * 2
+    few = [(j % 9, j * 53 % 101, f"m{j % 3}") for j in range(20)] * 2
+    e = Engine(spark, or_mode=mode)
+    for name, table in (("many", many), ("few", few)):
+        # a range, as Spark knows its size
+        cell = lambda i, t=table: F.element_at(F.array(*(F.lit(r[i]) for r in t)), F.col("id").cast("int") + 1)
+        e.register(name, spark.range(len(table)).select(*(cell(i).alias(c) for i, c in enumerate(("k", "v", "s")))))
+    pairs = [(a, b) for a in many for b in few if a[0] == b[0] and a[1] < b[1]]
+    assert rows(e, SPREAD) == sorted(a + b for a, b in pairs)
+    assert "larkspur:deal" in e.query(SPREAD)._jdf.queryExecution().analyzed().toString()
+    assert rows(e, "JOIN few, many ON few.v > many.v AND few.k = many.k;") == sorted(b + a for a, b in pairs)
+    assert rows(e, f"SORT ({SPREAD[:-1]}) BY many.v;") == sorted({a + b for a, b in pairs})
+    assert rows(e, f"UNION ({SPREAD[:-1]}), ({SPREAD[:-1]});") == sorted(2 * [a + b for a, b in pairs])
+    either = "JOIN many, few ON many.k = few.k AND many.v < few.v AND (many.s = few.s OR many.v != few.v);"
+    want = [a + b for a, b in pairs for met in ([a[2] == b[2], True] if mode == "bag" else [True]) if met]
+    assert rows(e, either) == sorted(want)
